@@ -115,30 +115,35 @@ def may_be_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType, T.StringType))
 
 
-def is_boolean_text(c: Column) -> Column:
-    return F.lower(stripped(c)).isin(*BOOLEAN_WORDS)
+def stripped_sql(c: str) -> str:
+    return f"regexp_replace({c}, {literal(f'(?U)^{_SPACE}+|{_SPACE}+$')}, '')"
 
 
-def is_integer_text(c: Column) -> Column:
-    return c.rlike(INTEGER_PATTERN)
+def boolean_sql(c: str) -> str:
+    words = ", ".join(literal(w) for w in BOOLEAN_WORDS)
+    return f"lower({stripped_sql(c)}) in ({words})"
 
 
-def is_float_text(c: Column) -> Column:
-    return c.rlike(NUMBER_PATTERN) | c.rlike(SPECIAL_FLOAT_PATTERN)
+def integer_sql(c: str) -> str:
+    return f"rlike({c}, {literal(INTEGER_PATTERN)})"
 
 
-def parse_datetime(c: Column) -> Column:
+def float_sql(c: str) -> str:
+    return f"(rlike({c}, {literal(NUMBER_PATTERN)}) or rlike({c}, {literal(SPECIAL_FLOAT_PATTERN)}))"
+
+
+def parse_datetime_sql(c: str) -> str:
     """Timestamp by the six accepted patterns; the shape test keeps other text
     away from the parser."""
-    t = stripped(c)
-    return F.coalesce(*[
-        F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
-        for fmt, shape in DATETIME_FORMATS
-    ])
+    t = stripped_sql(c)
+    return "coalesce(" + ", ".join(
+        f"case when rlike({t}, {literal(shape)}) then try_to_timestamp({t}, '{fmt}') end"
+        for fmt, shape in DATETIME_FORMATS) + ")"
 
 
-def is_datetime_text(c: Column) -> Column:
-    return parse_datetime(c).isNotNull()
+def datetime_sql(c: str) -> str:
+    # most text is no date at all and is settled by its first characters
+    return f"(rlike({c}, {literal(r'^[^0-9]{0,40}[0-9]{1,4}[-/]')}) and {parse_datetime_sql(c)} is not null)"
 
 
 def logical_type_of(dtype: T.DataType) -> str | None:

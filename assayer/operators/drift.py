@@ -53,8 +53,11 @@ def ks_statistic(pairs: DataFrame) -> DataFrame:
     running totals of the ranges (a small table) give every range its start.
     Ranges depend on values alone, so a recomputed task gets the same rows.
     """
-    points = [(i + 1) / 2 ** _LEVELS for i in range(2 ** _LEVELS - 1)]
-    cuts = pairs.groupBy("column").agg(F.percentile_approx("value", points).alias("cuts"))
+    points = ", ".join(str((i + 1) / 2 ** _LEVELS) for i in range(2 ** _LEVELS - 1))
+    # the test on c + r is always true; it keeps the pair counts in this branch, so
+    # that both branches read one and the same shuffle
+    cuts = (pairs.where("c + r > 0").groupBy("column")
+            .agg(F.expr(f"percentile_approx(value, array({points})) as cuts")))
     # broadcast bound: one array of 1023 doubles per column of the table
     ranged = (pairs.join(F.broadcast(cuts), "column").withColumn("bucket", _bucket()).drop("cuts"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.expr import long_numbers, measured_columns, num, row_id
 from assayer.operators.findings import as_findings
-from assayer.operators.quantiles import column_moments, exact_quantiles
+from assayer.operators.quantiles import column_summary
 
 # fixed values
 Z_THRESHOLD, IQR_MULTIPLIER = 3.0, 1.5
@@ -23,9 +23,8 @@ EVIDENCE_ROWS, CHART_ROWS = 5, 40
 def outlier_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics of the columns that can be tested: at least 5 numbers, not
     constant, and a spread between the quartiles."""
-    stats = column_moments(df, columns).where(
-        (F.col("n") >= MIN_VALUES) & (F.col("std") >= FLAT) & (F.col("min") != F.col("max")))
-    return (stats.join(exact_quantiles(df, columns), "column")
+    return (column_summary(df, columns)
+            .where((F.col("n") >= MIN_VALUES) & (F.col("std") >= FLAT) & (F.col("min") != F.col("max")))
             .withColumn("iqr", F.col("q75") - F.col("q25")).where(F.col("iqr") >= FLAT)
             .withColumn("lower_fence", F.col("q25") - IQR_MULTIPLIER * F.col("iqr"))
             .withColumn("upper_fence", F.col("q75") + IQR_MULTIPLIER * F.col("iqr"))
@@ -78,10 +77,14 @@ def outlier_measures(df: DataFrame, columns: Sequence[str] | None = None,
     """Unrounded summary per testable column; the counting pass runs without a row shuffle."""
     columns = tested_columns(df, columns, extra_identifiers)
     stats = outlier_stats(df, columns)
-    counts = (_tested(long_numbers(df, columns).select("column", "value"), stats)
-              .groupBy("column").agg(F.count_if(_z() > Z_THRESHOLD).alias("z_outlier_count"),
-                                     F.count_if(_outside()).alias("iqr_outlier_count")))
-    return (stats.join(counts, "column")
+    values = long_numbers(df, columns).select("column", "value")
+    carried = [c for c in stats.columns if c != "column"]
+    # the statistics ride along, so they are worked out once
+    return (values.join(F.broadcast(stats), "column")
+            .groupBy("column").agg(
+                *[F.first(c).alias(c) for c in carried],
+                F.count_if(_z() > Z_THRESHOLD).alias("z_outlier_count"),
+                F.count_if(_outside()).alias("iqr_outlier_count"))
             .withColumn("outlier_percentage",
                         F.round(F.col("iqr_outlier_count") / F.col("n") * 100, 2))
             .withColumn("is_skewed", F.abs("skewness") > SKEW_LIMIT))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.expr import (as_text, data_type, is_float_text, literal, long_numbers,
+from assayer.functions.expr import (as_text, data_type, float_sql, ident, literal, long_numbers,
                                     may_be_numeric, missing, missing_sql, numeric, ordinals, quoted)
 from assayer.operators.quality import duplicate_counts, quality_score, tiny
-from assayer.operators.quantiles import column_moments, exact_quantiles
+from assayer.operators.quantiles import column_summary
 
 _CHUNK = 100
 
@@ -24,7 +24,7 @@ def cell_counts(df: DataFrame) -> DataFrame:
         for c in names:
             i, dtype = pos[c], data_type(df, c)
             if isinstance(dtype, T.StringType):
-                floatable = F.count_if(is_float_text(quoted(c)))
+                floatable = F.expr(f"count_if({float_sql(ident(c))})")
             elif may_be_numeric(dtype):
                 floatable = F.count(quoted(c))
             else:
@@ -52,9 +52,9 @@ def profile_numeric(df: DataFrame) -> DataFrame:
     """Columns whose every valid value is a number: moments and quartiles."""
     columns = [f.name for f in df.schema.fields if may_be_numeric(f.dataType)]
     counts = _with_missing(cell_counts(df)).where(_is_numeric())
-    stats = column_moments(df, columns).select("column", "mean", "std", "min", "max")
-    # all three sides have at most one row per column
-    return (counts.join(stats, "column").join(exact_quantiles(df, columns), "column")
+    stats = column_summary(df, columns).drop("ordinal")
+    # both sides have at most one row per column
+    return (counts.join(stats, "column")
             .select("column", F.lit("numeric").alias("data_type"), "total_count", "valid_count",
                     "missing_count", "missing_percentage",
                     *[F.round(F.col(c), 4).alias(c)

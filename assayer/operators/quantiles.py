@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from assayer.functions.expr import ident, literal, long_numbers, numbers_of, ordinals
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+MOMENTS = {"n": "count({c})", "mean": "avg({c})", "std": "stddev_pop({c})",
+           "skewness": "skewness({c})", "min": "min({c})", "max": "max({c})"}
+_CARRIED = ("ordinal", *MOMENTS)
 _SUBRANGES = 1024
 _CHUNK = 25  # columns per aggregate, keeps generated code within limits
 
@@ -47,20 +50,18 @@ def _per_column(df: DataFrame, columns: Sequence[str], fields: Mapping[str, str]
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, ordinal, n, mean, std, skewness, min, max), population forms."""
-    return _per_column(df, columns, {
-        "n": "count({c})", "mean": "avg({c})", "std": "stddev_pop({c})",
-        "skewness": "skewness({c})", "min": "min({c})", "max": "max({c})"})
+    return _per_column(df, columns, MOMENTS)
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = QUARTILES,
-                    accuracy: int = 10_000) -> DataFrame:
-    """(column, one double per entry of probs) for the named columns of df."""
+def column_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = QUARTILES,
+                   accuracy: int = 10_000) -> DataFrame:
+    """(column, ordinal, n, mean, std, skewness, min, max, one double per entry of probs)
+    for the named columns of df; columns without a number are absent."""
     names, ps = list(probs), list(probs.values())
     slack = 2.0 / accuracy
     edges = ", ".join(str(q) for p in ps for q in (max(p - slack, 0.0), min(p + slack, 1.0)))
     sketch = _per_column(df, columns, {
-        "n": "count({c})", "mn": "min({c})", "mx": "max({c})",
-        "e": f"percentile_approx({{c}}, array({edges}), {accuracy})"})
+        **MOMENTS, "e": f"percentile_approx({{c}}, array({edges}), {accuracy})"})
 
     # Below 2 * accuracy rows the sketch's rank slack is under two ranks, so the
     # whole (small) column is taken; above it the sketch's error bound holds.
@@ -69,9 +70,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
                 f"else e[{2 * i + index}] end")
 
     marks = ", ".join(
-        f"struct({i} as i, {p}D * (n - 1) as pos, {side(i, p, p - slack <= 0, 0, 'mn')} as lo, "
-        f"{side(i, p, p + slack >= 1, 1, 'mx')} as hi)" for i, p in enumerate(ps))
-    targets = (sketch.where("n > 0").select("column", F.expr(f"array({marks})").alias("marks")))
+        f"struct({i} as i, {p}D * (n - 1) as pos, {side(i, p, p - slack <= 0, 0, 'min')} as lo, "
+        f"{side(i, p, p + slack >= 1, 1, 'max')} as hi)" for i, p in enumerate(ps))
+    targets = sketch.where("n > 0").select("column", *_CARRIED, F.expr(f"array({marks}) as marks"))
 
     # broadcast bound: one row per column of the table
     inside = " or ".join(f"value between marks[{i}].lo and marks[{i}].hi" for i in range(len(ps)))
@@ -81,9 +82,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
             .join(F.broadcast(targets), "column")
             .groupBy("column", F.expr(region).alias("region"),
                      F.expr(f"case when {inside} then value end").alias("v"))
-            .agg(F.count(F.lit(1)).alias("c"), F.min("value").alias("rep"),
-                 *[F.first(F.expr(f"marks[{i}].{f}")).alias(f"{f}_{i}")
-                   for i in range(len(ps)) for f in ("pos", "lo", "hi")]))
+            .agg(F.expr("count(1) as c"), F.expr("min(value) as rep"),
+                 *[F.expr(f"first(marks[{i}].{f}) as {f}_{i}")
+                   for i in range(len(ps)) for f in ("pos", "lo", "hi")],
+                 # the moments ride along instead of being joined back
+                 *[F.expr(f"first({m}) as {m}") for m in _CARRIED]))
 
     # From here on only the grouped values are left.  rep stands for its group:
     # all values of one group lie on the same side of every lower edge.
@@ -93,8 +96,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
                    when hi > lo then least(int(floor((rep - lo) / (hi - lo) * {_SUBRANGES})),
                                            {_SUBRANGES - 1})
                    else 0 end"""
-    held = (hist.select("column", "v", "rep", "c", F.expr(f"inline(array({each}))"))
-            .where("rep <= hi").select("column", "i", "pos", "v", "c", F.expr(sub).alias("sub")))
+    held = (hist.select("column", "v", "rep", "c", *_CARRIED, F.expr(f"inline(array({each}))"))
+            .where("rep <= hi")
+            .select("column", "i", "pos", "v", "c", *_CARRIED, F.expr(f"{sub} as sub")))
 
     # at most 1025 rows per (column, quantile)
     by_sub = Window.partitionBy("column", "i").orderBy("sub")
@@ -107,9 +111,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, f
     in_sub = Window.partitionBy("column", "i", "sub").orderBy("v")
     ranked = (held.join(F.broadcast(wanted), ["column", "i", "sub"])
               .withColumn("first", F.col("start") + F.sum("c").over(in_sub) - F.col("c")))
-    found = ranked.groupBy("column", "i", "pos").agg(
-        F.expr("max(case when floor(pos) >= first and floor(pos) < first + c then v end) as x0"),
-        F.expr("max(case when ceil(pos) >= first and ceil(pos) < first + c then v end) as x1"))
-    return found.groupBy("column").agg(*[
-        F.expr(f"max(case when i = {i} then x0 + (x1 - x0) * (pos - floor(pos)) end) as {name}")
+    picks = []
+    for i in range(len(ps)):
+        at = "case when i = {i} and {k}(pos) >= first and {k}(pos) < first + c then v end"
+        picks += [F.expr(f"max({at.format(i=i, k=k)}) as {k}_{i}") for k in ("floor", "ceil")]
+        picks.append(F.expr(f"max(case when i = {i} then pos - floor(pos) end) as part_{i}"))
+    found = ranked.groupBy("column").agg(*[F.expr(f"first({m}) as {m}") for m in _CARRIED], *picks)
+    return found.select("column", *_CARRIED, *[
+        F.expr(f"floor_{i} + (ceil_{i} - floor_{i}) * part_{i} as {name}")
         for i, name in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str],
+                    probs: Mapping[str, float] = QUARTILES) -> DataFrame:
+    return column_summary(df, columns, probs).select("column", *probs)

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.expr import (IDENTIFIER_RULES, data_type, is_boolean_text, is_datetime_text,
-                                    is_float_text, is_integer_text, logical_type_of, missing,
-                                    normalized_type, ordinals, quoted, schema_identifier)
+from assayer.functions.expr import (IDENTIFIER_RULES, boolean_sql, data_type, datetime_sql, float_sql,
+                                    ident, integer_sql, literal, logical_type_of, missing_sql,
+                                    normalized_type, ordinals, schema_identifier)
 from assayer.operators.findings import as_findings
 
 _CHUNK = 50
+# in order of precedence
+TEXT_TESTS = {"boolean": boolean_sql, "integer": integer_sql, "float": float_sql,
+              "datetime": datetime_sql}
 
 
 def infer_schema(df: DataFrame) -> DataFrame:
@@ -26,25 +29,22 @@ def infer_schema(df: DataFrame) -> DataFrame:
         names = df.columns[start:start + _CHUNK]
         aggs, rows = [], []
         for c in names:
-            i, cell = pos[c], quoted(c)
+            i = pos[c]
             native = logical_type_of(data_type(df, c))
-            present = ~missing(df, c)
-            aggs.append(F.count_if(present).alias(f"n{i}"))
+            present = f"not {missing_sql(df, c)}"
+            aggs.append(F.expr(f"count_if({present}) as n{i}"))
             if schema_identifier(c):
-                kind = F.lit("string")
+                kind = "'string'"
             elif native is not None:
-                kind = F.when(F.col(f"n{i}") > 0, native).otherwise("string")
+                kind = f"case when n{i} > 0 then '{native}' else 'string' end"
             else:
-                tests = {"boolean": is_boolean_text, "integer": is_integer_text,
-                         "float": is_float_text, "datetime": is_datetime_text}
-                kind = F.when(F.col(f"n{i}") == 0, "string")
-                for label, test in tests.items():
-                    aggs.append(F.count_if(present & test(cell)).alias(f"{label}{i}"))
-                    kind = kind.when(F.col(f"{label}{i}") == F.col(f"n{i}"), label)
-                kind = kind.otherwise("string")
-            rows.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
-                                 kind.alias("logical_type")))
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
+                kind = f"case when n{i} = 0 then 'string'"
+                for label, test in TEXT_TESTS.items():
+                    aggs.append(F.expr(f"count_if({present} and {test(ident(c))}) as {label}{i}"))
+                    kind += f" when {label}{i} = n{i} then '{label}'"
+                kind += " else 'string' end"
+            rows.append(f"struct({literal(c)} as column, {i} as ordinal, {kind} as logical_type)")
+        parts.append(df.agg(*aggs).select(F.expr(f"inline(array({', '.join(rows)}))")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -53,7 +53,7 @@ def io_csv_roundtrip(spark, sf):
 def io_json_roundtrip(spark, sf):
     path = _scratch(spark, "json")
     table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").write.json(path)
-    return readers.read_json(spark, path)
+    return readers.read_json(spark, path, lines=True)
 
 
 @query

@@ -37,9 +37,14 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
             .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A top-level array of objects, or an object that wraps it as ``data``."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              lines: bool = False) -> DataFrame:
+    """A top-level array of objects, or an object that wraps it as ``data``.
+
+    Such a document is one split; ``lines`` reads one object per line instead,
+    which splits and is what large data should use.
+    """
+    reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema else reader).json(path)
     if df.columns == ["data"] and isinstance(df.schema["data"].dataType, T.ArrayType) \
             and isinstance(df.schema["data"].dataType.elementType, T.StructType):

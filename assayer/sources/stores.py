@@ -28,8 +28,8 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     Row digests are cut into four 60-bit slices and summed, so the combination is
     a plain aggregate and copies count.
     """
-    cols = [f"unix_micros({ident(f.name)}) as {ident(f.name)}"
-            if isinstance(f.dataType, T.TimestampType) else ident(f.name) for f in df.schema.fields]
+    cols = [f"unix_micros(cast({ident(f.name)} as timestamp)) as {ident(f.name)}"
+            if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else ident(f.name) for f in df.schema.fields]
     digest = df.selectExpr(*cols).select(
         F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256).alias("h"))
     slices = [F.expr(f"coalesce(sum(cast(conv(substr(h, {1 + 15 * i}, 15), 16, 10) as decimal(20, 0))), 0)"

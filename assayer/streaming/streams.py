@@ -26,7 +26,7 @@ def run_counters(events: DataFrame, output_below: float = 100.0, lateness: str =
 
     State is one row per (day, type) until the watermark closes the day.
     """
-    return (events.withWatermark("ts", lateness)
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
             .groupBy(F.window("ts", "1 day"), "event_type")
             .agg(F.count(F.lit(1)).alias("rows_input"),
                  F.count_if(F.col("value") < output_below).alias("rows_output"),
