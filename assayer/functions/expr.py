@@ -99,10 +99,11 @@ def numeric_sql(c: str, dtype: T.DataType) -> str:
         finite = f"{c} between -1.7976931348623157E308D and 1.7976931348623157E308D"
         return f"case when {finite} then cast({c} as double) end"
     if isinstance(dtype, T.StringType):
-        trimmed = f"regexp_replace({c}, {literal('[^0-9.eE+-]')}, '')"
-        return (f"case when rlike({c}, {literal(NUMBER_PATTERN)}) "
-                f"then nullif(abs(try_cast({trimmed} as double)), double('Infinity')) "
-                f"* if(startswith({trimmed}, '-'), -1, 1) end")
+        # numbers start with white space, a sign, a dot or a digit: all at most ASCII 57,
+        # so ordinary words never reach the pattern
+        d = f"try_cast({c} as double)"
+        return (f"case when ascii({c}) <= 57 and rlike({c}, {literal(NUMBER_PATTERN)}) "
+                f"then case when abs({d}) < double('Infinity') then {d} end end")
     return "cast(null as double)"
 
 
@@ -223,8 +224,18 @@ def row_id(keys: Sequence[str]) -> Column:
 
 
 def numbers_of(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
-    """Only the named columns, parsed to double, beside the kept ones."""
-    return df.select(*keep, *[numeric(df, c).alias(c) for c in columns])
+    """Only the named columns, parsed to double, beside the kept ones.
+
+    Text goes through a one-element ``inline``: without that step the optimizer
+    would merge the parsing into every aggregate that reads the column.
+    """
+    kept = df.select(*keep).columns if keep else []
+    if not any(isinstance(data_type(df, c), T.StringType) for c in columns):
+        return df.select(*keep, *[numeric(df, c).alias(c) for c in columns])
+    parsed = df.select(*keep, *[quoted(c).alias(f"_n{i}") for i, c in enumerate(columns)])
+    fields = ", ".join(f"{numeric_sql(f'_n{i}', data_type(df, c))} as {ident(c)}"
+                       for i, c in enumerate(columns))
+    return parsed.select(*[quoted(k) for k in kept], F.expr(f"inline(array(struct({fields})))"))
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
@@ -257,5 +268,6 @@ def severity_rank(c: Column) -> Column:
 
 
 def num(c: Column, digits: int) -> Column:
-    """Fixed-point text of a number."""
-    return F.format_string(f"%.{digits}f", c)
+    """Fixed-point text of a number, rounded on its exact binary value."""
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return F.call_function("format_number", c, F.lit(pattern))

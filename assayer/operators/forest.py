@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.expr import ident, literal, measured_columns, numeric, row_id
+from assayer.functions.expr import ident, literal, measured_columns, num, numeric, row_id
 from assayer.operators.findings import as_findings
 from assayer.operators.quantiles import column_moments, exact_quantiles
 from assayer.session import written
@@ -317,6 +317,6 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS,
         "bin", edge[0].alias("low"), edge[1].alias("high"), F.coalesce("count", F.lit(0)).alias("count"))
     flagged = F.lit(False) if threshold is None else F.col("high") <= threshold
     return t.select(
-        "bin", F.format_string("%.2f to %.2f", "low", "high").alias("range"),
+        "bin", F.concat(num(F.col("low"), 2), F.lit(" to "), num(F.col("high"), 2)).alias("range"),
         F.round((F.col("low") + F.col("high")) / 2, 3).alias("score_mid"), "count",
         flagged.alias("is_anomalous"))

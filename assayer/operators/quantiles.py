@@ -26,19 +26,21 @@ from assayer.functions.expr import ident, literal, long_numbers, numbers_of, ord
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 MOMENTS = {"n": "count({c})", "mean": "avg({c})", "std": "stddev_pop({c})",
            "skewness": "skewness({c})", "min": "min({c})", "max": "max({c})"}
-_CARRIED = ("ordinal", *MOMENTS)
 _SUBRANGES = 1024
-_CHUNK = 25  # columns per aggregate, keeps generated code within limits
+# Columns per aggregate.  Six keep the generated code small enough to be compiled;
+# every chunk reads only its own columns, so the scan volume stays the same.
+_MOMENT_CHUNK, _SKETCH_CHUNK = 6, 25
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+def _per_column(df: DataFrame, columns: Sequence[str], fields: Mapping[str, str],
+                chunk: int) -> DataFrame:
     """One global aggregate over all columns, turned into a row per column.
 
     ``fields`` maps an output name to an aggregate over ``{c}``.
     """
     pos, parts = ordinals(df), []
-    for start in range(0, len(columns), _CHUNK):
-        names = columns[start:start + _CHUNK]
+    for start in range(0, len(columns), chunk):
+        names = columns[start:start + chunk]
         aggs = [F.expr(f"{agg.format(c=ident(c))} as {name}_{pos[c]}")
                 for c in names for name, agg in fields.items()]
         rows = ", ".join(
@@ -50,55 +52,62 @@ def _per_column(df: DataFrame, columns: Sequence[str], fields: Mapping[str, str]
 
 def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, ordinal, n, mean, std, skewness, min, max), population forms."""
-    return _per_column(df, columns, MOMENTS)
+    return _per_column(df, columns, MOMENTS, _MOMENT_CHUNK)
 
 
-def column_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = QUARTILES,
-                   accuracy: int = 10_000) -> DataFrame:
-    """(column, ordinal, n, mean, std, skewness, min, max, one double per entry of probs)
-    for the named columns of df; columns without a number are absent."""
+def column_summary(df: DataFrame, columns: Sequence[str],
+                   probs: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """Moments and quantiles side by side; one row per column that has a number.
+
+    The moments stay a pass of their own: they run in generated code, which the
+    sketch would switch off for the whole aggregate.
+    """
+    return column_moments(df, columns).join(exact_quantiles(df, columns, probs), "column")
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = QUARTILES,
+                    accuracy: int = 10_000) -> DataFrame:
+    """(column, one double per entry of probs) for the named columns of df."""
     names, ps = list(probs), list(probs.values())
     slack = 2.0 / accuracy
     edges = ", ".join(str(q) for p in ps for q in (max(p - slack, 0.0), min(p + slack, 1.0)))
+    # first and last entry are the exact minimum and maximum
     sketch = _per_column(df, columns, {
-        **MOMENTS, "e": f"percentile_approx({{c}}, array({edges}), {accuracy})"})
+        "n": "count({c})", "e": f"percentile_approx({{c}}, array(0.0, {edges}, 1.0), {accuracy})"},
+        _SKETCH_CHUNK)
 
     # Below 2 * accuracy rows the sketch's rank slack is under two ranks, so the
     # whole (small) column is taken; above it the sketch's error bound holds.
     def side(i, p, at_end, index, end):
         return (f"case when n < {2 * accuracy} or {str(at_end).lower()} then {end} "
-                f"else e[{2 * i + index}] end")
+                f"else e[{2 * i + index + 1}] end")
 
-    marks = ", ".join(
-        f"struct({i} as i, {p}D * (n - 1) as pos, {side(i, p, p - slack <= 0, 0, 'min')} as lo, "
-        f"{side(i, p, p + slack >= 1, 1, 'max')} as hi)" for i, p in enumerate(ps))
-    targets = sketch.where("n > 0").select("column", *_CARRIED, F.expr(f"array({marks}) as marks"))
+    targets = sketch.where("n > 0").select("column", *[
+        F.expr(f"{text} as {name}_{i}") for i, p in enumerate(ps) for name, text in (
+            ("pos", f"{p}D * (n - 1)"), ("lo", side(i, p, p - slack <= 0, 0, "e[0]")),
+            ("hi", side(i, p, p + slack >= 1, 1, f"e[{2 * len(ps) + 1}]")))])
 
     # broadcast bound: one row per column of the table
-    inside = " or ".join(f"value between marks[{i}].lo and marks[{i}].hi" for i in range(len(ps)))
-    region = " + ".join(f"int(value >= marks[{i}].lo) + int(value > marks[{i}].hi)"
-                        for i in range(len(ps)))
+    inside = " or ".join(f"value between lo_{i} and hi_{i}" for i in range(len(ps)))
+    region = " + ".join(f"int(value >= lo_{i}) + int(value > hi_{i})" for i in range(len(ps)))
     hist = (long_numbers(df, columns).select("column", "value")
             .join(F.broadcast(targets), "column")
             .groupBy("column", F.expr(region).alias("region"),
                      F.expr(f"case when {inside} then value end").alias("v"))
-            .agg(F.expr("count(1) as c"), F.expr("min(value) as rep"),
-                 *[F.expr(f"first(marks[{i}].{f}) as {f}_{i}")
-                   for i in range(len(ps)) for f in ("pos", "lo", "hi")],
-                 # the moments ride along instead of being joined back
-                 *[F.expr(f"first({m}) as {m}") for m in _CARRIED]))
+            .agg(F.expr("count(1) as c"), F.expr("min(value) as rep")))
 
     # From here on only the grouped values are left.  rep stands for its group:
-    # all values of one group lie on the same side of every lower edge.
+    # all values of one group lie on the same side of every edge.
     each = ", ".join(f"struct({i} as i, pos_{i} as pos, lo_{i} as lo, hi_{i} as hi)"
                      for i in range(len(ps)))
     sub = f"""case when rep < lo then -1
                    when hi > lo then least(int(floor((rep - lo) / (hi - lo) * {_SUBRANGES})),
                                            {_SUBRANGES - 1})
                    else 0 end"""
-    held = (hist.select("column", "v", "rep", "c", *_CARRIED, F.expr(f"inline(array({each}))"))
+    held = (hist.join(F.broadcast(targets), "column")
+            .select("column", "v", "rep", "c", F.expr(f"inline(array({each}))"))
             .where("rep <= hi")
-            .select("column", "i", "pos", "v", "c", *_CARRIED, F.expr(f"{sub} as sub")))
+            .select("column", "i", "pos", "v", "c", F.expr(f"{sub} as sub")))
 
     # at most 1025 rows per (column, quantile)
     by_sub = Window.partitionBy("column", "i").orderBy("sub")
@@ -116,12 +125,7 @@ def column_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, fl
         at = "case when i = {i} and {k}(pos) >= first and {k}(pos) < first + c then v end"
         picks += [F.expr(f"max({at.format(i=i, k=k)}) as {k}_{i}") for k in ("floor", "ceil")]
         picks.append(F.expr(f"max(case when i = {i} then pos - floor(pos) end) as part_{i}"))
-    found = ranked.groupBy("column").agg(*[F.expr(f"first({m}) as {m}") for m in _CARRIED], *picks)
-    return found.select("column", *_CARRIED, *[
+    found = ranked.groupBy("column").agg(*picks)
+    return found.select("column", *[
         F.expr(f"floor_{i} + (ceil_{i} - floor_{i}) * part_{i} as {name}")
         for i, name in enumerate(names)])
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str],
-                    probs: Mapping[str, float] = QUARTILES) -> DataFrame:
-    return column_summary(df, columns, probs).select("column", *probs)

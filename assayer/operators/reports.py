@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.expr import quoted
+from assayer.functions.expr import num, quoted
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -29,8 +29,8 @@ def method_sheet(proofs: DataFrame) -> DataFrame:
     """(method, agent, classification, execution_status, evidence) per detection method."""
     z = F.col("method") == "Z-Score"
     text = F.when(z, F.format_string(
-        "Columns analyzed: %d, Flagged count: %d, Max |Z|: %.2f, Threshold: |z| > 3.0",
-        "columns_analyzed", "total_flagged_count", "max_z_score")).otherwise(F.format_string(
+        "Columns analyzed: %d, Flagged count: %d, Max |Z|: %s, Threshold: |z| > 3.0",
+        "columns_analyzed", "total_flagged_count", num(F.col("max_z_score"), 2))).otherwise(F.format_string(
             "Columns analyzed: %d, Outliers count: %d, Method rule: 1.5 × IQR",
             "columns_analyzed", "total_flagged_count"))
     return proofs.select(

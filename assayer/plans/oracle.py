@@ -21,7 +21,7 @@ fl0 AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_partkey
 fl1 AS (SELECT * FROM fl0 UNION ALL SELECT * FROM fl0 WHERE l_orderkey % 8 = 0),
 fl AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
               CASE WHEN l_orderkey < 5 THEN CAST(999999.99 AS DOUBLE) ELSE l_quantity END AS l_quantity,
-              l_extendedprice * 1.5 AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
+              l_extendedprice * 2.0 AS l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
        FROM fl1)"""
 
 FO = """

@@ -64,3 +64,21 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 def first_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The first n rows in key order: a bounded sample, ordered by top-n, not by a full sort."""
     return df.orderBy(*keys).limit(n)
+
+
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, dealt out over all cores.
+
+    Auditing passes over the rows several times; a file that is one split would
+    keep one core busy in each pass.  Tables with enough splits (any large one)
+    and tables of a few megabytes are returned as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
