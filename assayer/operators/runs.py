@@ -78,7 +78,10 @@ def run_baseline(runs: DataFrame, min_runs: int = MIN_RUNS) -> DataFrame:
     built once per scope and the own value is taken out of them, so no run ever
     meets the others of a large pipeline:
 
-        mean' = mean - d / (n - 1),  M2' = M2 - d^2 n / (n - 1),  d = x - mean
+        mean' = (sum - x) / (n - 1),  M2' = M2 - d^2 n / (n - 1),  d = x - mean
+
+    The sum form keeps the mean of whole-number metrics exact; the centred form
+    keeps the variance from cancelling.
     """
     metrics = run_metrics(runs)
     scopes = metrics.select("pipeline_id", "metric", "actual", F.expr(
@@ -86,7 +89,7 @@ def run_baseline(runs: DataFrame, min_runs: int = MIN_RUNS) -> DataFrame:
         " as scope_dataset"))
     sums = scopes.groupBy("pipeline_id", "scope_dataset", "metric").agg(
         F.count(F.lit(1)).alias("runs"), F.count("actual").alias("n"),
-        F.avg("actual").alias("mean"),
+        F.avg("actual").alias("mean"), F.sum("actual").alias("sum"),
         (F.var_pop("actual") * F.count("actual")).alias("m2"))
     joined = metrics.alias("m").join(
         sums.alias("s"),
@@ -95,11 +98,10 @@ def run_baseline(runs: DataFrame, min_runs: int = MIN_RUNS) -> DataFrame:
     x, n = F.col("actual"), F.col("n")
     others = n - F.when(x.isNotNull(), 1).otherwise(0)
     d = F.coalesce(x - F.col("mean"), F.lit(0.0))
-    return (joined.select("m.*", "runs", "n", "mean", "m2")
+    return (joined.select("m.*", "runs", "n", "mean", "sum", "m2")
             .where(F.col("runs") - 1 >= min_runs)
             .withColumn("n_other", others).where(F.col("n_other") > 0)
-            .withColumn("average", F.when(x.isNull(), F.col("mean"))
-                        .otherwise(F.col("mean") - d / F.col("n_other")))
+            .withColumn("average", (F.col("sum") - F.coalesce(x, F.lit(0.0))) / F.col("n_other"))
             .withColumn("std", F.sqrt(F.greatest(
                 F.lit(0.0), F.when(x.isNull(), F.col("m2"))
                 .otherwise(F.col("m2") - d * d * n / F.col("n_other"))) / F.col("n_other")))
