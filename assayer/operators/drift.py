@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.expr import long_numbers, measured_columns, num, ordinals
+from assayer.functions.expr import bucket_sql, long_numbers, measured_columns, num, ordinals
 from assayer.operators.findings import as_findings
 
 # fixed values
@@ -18,8 +18,6 @@ MIN_VALUES, MIN_REFERENCE_ROWS, CURVE_POINTS = 10, 10, 20
 SERIES_TERMS = 100
 EXACT_PRODUCT = 250_000
 
-_LEVELS = 10  # 2^10 - 1 = 1023 cut points per column
-
 
 def paired_counts(current: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None,
                   rule: str = "none", extra_identifiers: Iterable[str] = ()) -> DataFrame:
@@ -38,32 +36,18 @@ def paired_counts(current: DataFrame, reference: DataFrame, columns: Sequence[st
             .agg(F.sum("c").alias("c"), F.sum("r").alias("r")))
 
 
-def _bucket() -> Column:
-    """Number of cut points below the value, by bisection over the sorted array."""
-    steps = F.array(*[F.lit(2 ** i) for i in reversed(range(_LEVELS))])
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
-        F.get(F.col("cuts"), low + step - 1) < F.col("value"), low + step).otherwise(low))
-
-
 def ks_statistic(pairs: DataFrame) -> DataFrame:
     """pairs(column, ordinal, value, c, r) -> one row per column with D and both means.
 
     A running total over one column would order the whole column in one task.
-    Cut points from a bounded sketch spread it over 1024 value ranges; the
-    running totals of the ranges (a small table) give every range its start.
-    Ranges depend on values alone, so a recomputed task gets the same rows.
+    Value buckets spread it; the running totals of the buckets (a small table) give
+    every bucket its start.  Buckets depend on values alone, so a recomputed task
+    gets the same rows.
     """
-    points = ", ".join(str((i + 1) / 2 ** _LEVELS) for i in range(2 ** _LEVELS - 1))
-    # the test on c + r is always true; it keeps the pair counts in this branch, so
-    # that both branches read one and the same shuffle
-    cuts = (pairs.where("c + r > 0").groupBy("column")
-            .agg(F.expr(f"percentile_approx(value, array({points})) as cuts")))
-    # broadcast bound: one array of 1023 doubles per column of the table
-    ranged = (pairs.join(F.broadcast(cuts), "column").withColumn("bucket", _bucket()).drop("cuts"))
-
+    ranged = pairs.withColumn("bucket", F.expr(bucket_sql("value")))
     by_range = Window.partitionBy("column").orderBy("bucket")
     whole = Window.partitionBy("column")
-    # at most 1024 rows per column
+    # one row per bucket: some thousand per column
     totals = (ranged.groupBy("column", "bucket").agg(
                   F.sum("c").alias("bc"), F.sum("r").alias("br"),
                   F.sum(F.col("value") * F.col("c")).alias("sc"),
@@ -78,7 +62,7 @@ def ks_statistic(pairs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("column", "bucket").orderBy("value")
     gap = F.abs((F.col("c0") + F.sum("c").over(inside)) / F.col("n_cur")
                 - (F.col("r0") + F.sum("r").over(inside)) / F.col("n_ref"))
-    return (ranged.join(F.broadcast(totals), ["column", "bucket"]).withColumn("gap", gap)
+    return (ranged.join(totals, ["column", "bucket"]).withColumn("gap", gap)
             .groupBy("column").agg(
                 F.first("ordinal").alias("ordinal"),
                 F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),

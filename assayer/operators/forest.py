@@ -186,13 +186,15 @@ def fit_forest(df: DataFrame, keys: Sequence[str], features: Sequence[str] | Non
     Collected: one row per column, then the nodes of the trees.
     """
     table = forest_features(df, features, extra_identifiers).where("is_feature").orderBy("ordinal")
-    chosen = table.select("column", "total_rows").collect()
+    chosen = table.select("column", "numeric_count", "total_rows").collect()
     if not chosen:
         return None
     names, rows = [r["column"] for r in chosen], chosen[0]["total_rows"]
+    # a median is needed only where there is a gap to fill
+    gaps = [r["column"] for r in chosen if r["numeric_count"] < rows]
     medians = {r["column"]: r["median"]
-               for r in exact_quantiles(df, names, {"median": 0.5}).collect()}
-    mids = [medians[c] for c in names]
+               for r in exact_quantiles(df, gaps, {"median": 0.5}).collect()} if gaps else {}
+    mids = [medians.get(c, 0.0) for c in names]
     levels = max(1, math.ceil(math.log2(min(sample, max(rows, 2)))))
     cols = [f"f{i}" for i in range(len(names))]
 

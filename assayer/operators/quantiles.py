@@ -1,16 +1,15 @@
 """Moments and exact quantiles (linear interpolation) of many columns at once.
 
 The built-in exact percentile keeps every distinct value of a column in one
-aggregation buffer, which cannot hold for a high-cardinality column of a large
-table.  Here the work is:
-
-1. one pass with a bounded sketch gives, per column and quantile, two data
-   values that are certain to enclose the wanted ranks;
-2. one pass counts what lies between and below the enclosures and groups only
-   the values inside them (about 4 / accuracy of the rows), combined on the map
-   side;
-3. the enclosed values are cut into sub-ranges, the sub-range that holds the
-   rank is found from its totals, and only that one is ordered.
+aggregation buffer, and the approximate one sends a sketch from every task to one
+reducer; neither holds for a table of a million splits.  Here the work is:
+
+1. one pass counts the values per bucket (about 0.5 % of a typical column each),
+   combined on the map side and merged by many reducers; running totals over the
+   buckets say which of them hold the wanted ranks;
+2. one pass groups only the values of those buckets;
+3. these values are cut into sub-ranges, the sub-range that holds the rank is
+   found from its totals, and only that one is ordered.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.expr import ident, literal, long_numbers, numbers_of, ordinals
+from assayer.functions.expr import bucket_sql, ident, literal, long_numbers, numbers_of, ordinals
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 MOMENTS = {"n": "count({c})", "mean": "avg({c})", "std": "stddev_pop({c})",
@@ -29,93 +28,73 @@ MOMENTS = {"n": "count({c})", "mean": "avg({c})", "std": "stddev_pop({c})",
 _SUBRANGES = 1024
 # Columns per aggregate.  Six keep the generated code small enough to be compiled;
 # every chunk reads only its own columns, so the scan volume stays the same.
-_MOMENT_CHUNK, _SKETCH_CHUNK = 6, 25
+_MOMENT_CHUNK = 6
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], fields: Mapping[str, str],
-                chunk: int) -> DataFrame:
-    """One global aggregate over all columns, turned into a row per column.
-
-    ``fields`` maps an output name to an aggregate over ``{c}``.
-    """
+def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, ordinal, n, mean, std, skewness, min, max), population forms."""
     pos, parts = ordinals(df), []
-    for start in range(0, len(columns), chunk):
-        names = columns[start:start + chunk]
+    for start in range(0, len(columns), _MOMENT_CHUNK):
+        names = columns[start:start + _MOMENT_CHUNK]
         aggs = [F.expr(f"{agg.format(c=ident(c))} as {name}_{pos[c]}")
-                for c in names for name, agg in fields.items()]
+                for c in names for name, agg in MOMENTS.items()]
         rows = ", ".join(
             f"struct({literal(c)} as column, {pos[c]} as ordinal, "
-            + ", ".join(f"{name}_{pos[c]} as {name}" for name in fields) + ")" for c in names)
+            + ", ".join(f"{name}_{pos[c]} as {name}" for name in MOMENTS) + ")" for c in names)
         parts.append(numbers_of(df, names).agg(*aggs).select(F.expr(f"inline(array({rows}))")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, ordinal, n, mean, std, skewness, min, max), population forms."""
-    return _per_column(df, columns, MOMENTS, _MOMENT_CHUNK)
-
-
 def column_summary(df: DataFrame, columns: Sequence[str],
                    probs: Mapping[str, float] = QUARTILES) -> DataFrame:
-    """Moments and quantiles side by side; one row per column that has a number.
-
-    The moments stay a pass of their own: they run in generated code, which the
-    sketch would switch off for the whole aggregate.
-    """
+    """Moments and quantiles side by side; one row per column that has a number."""
     return column_moments(df, columns).join(exact_quantiles(df, columns, probs), "column")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = QUARTILES,
-                    accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str],
+                    probs: Mapping[str, float] = QUARTILES) -> DataFrame:
     """(column, one double per entry of probs) for the named columns of df."""
     names, ps = list(probs), list(probs.values())
-    slack = 2.0 / accuracy
-    edges = ", ".join(str(q) for p in ps for q in (max(p - slack, 0.0), min(p + slack, 1.0)))
-    # first and last entry are the exact minimum and maximum
-    sketch = _per_column(df, columns, {
-        "n": "count({c})", "e": f"percentile_approx({{c}}, array(0.0, {edges}, 1.0), {accuracy})"},
-        _SKETCH_CHUNK)
-
-    # Below 2 * accuracy rows the sketch's rank slack is under two ranks, so the
-    # whole (small) column is taken; above it the sketch's error bound holds.
-    def side(i, p, at_end, index, end):
-        return (f"case when n < {2 * accuracy} or {str(at_end).lower()} then {end} "
-                f"else e[{2 * i + index + 1}] end")
-
-    targets = sketch.where("n > 0").select("column", *[
-        F.expr(f"{text} as {name}_{i}") for i, p in enumerate(ps) for name, text in (
-            ("pos", f"{p}D * (n - 1)"), ("lo", side(i, p, p - slack <= 0, 0, "e[0]")),
-            ("hi", side(i, p, p + slack >= 1, 1, f"e[{2 * len(ps) + 1}]")))])
+    values = long_numbers(df, columns).select("column", "value")
+    running = Window.partitionBy("column").orderBy("bucket")  # one row per bucket
+    buckets = (values.groupBy("column", F.expr(bucket_sql("value")).alias("bucket"))
+               .agg(F.expr("count(1) as c"), F.expr("min(value) as lo"), F.expr("max(value) as hi"))
+               .withColumn("start", F.sum("c").over(running) - F.col("c"))
+               .withColumn("n", F.sum("c").over(Window.partitionBy("column"))))
+    aims = []
+    for i, p in enumerate(ps):
+        pos = f"{p}D * (n - 1)"
+        has_lo = f"floor({pos}) >= start and floor({pos}) < start + c"
+        has_hi = f"ceil({pos}) >= start and ceil({pos}) < start + c"
+        aims += [F.expr(f"max({pos}) as pos_{i}"),
+                 F.expr(f"max(case when {has_lo} then lo end) as lo_{i}"),
+                 F.expr(f"max(case when {has_hi} then hi end) as hi_{i}"),
+                 F.expr(f"max(case when {has_lo} then start end) as start_{i}")]
+    targets = buckets.groupBy("column").agg(*aims)
 
     # broadcast bound: one row per column of the table
     inside = " or ".join(f"value between lo_{i} and hi_{i}" for i in range(len(ps)))
-    region = " + ".join(f"int(value >= lo_{i}) + int(value > hi_{i})" for i in range(len(ps)))
-    hist = (long_numbers(df, columns).select("column", "value")
-            .join(F.broadcast(targets), "column")
-            .groupBy("column", F.expr(region).alias("region"),
-                     F.expr(f"case when {inside} then value end").alias("v"))
-            .agg(F.expr("count(1) as c"), F.expr("min(value) as rep")))
-
-    # From here on only the grouped values are left.  rep stands for its group:
-    # all values of one group lie on the same side of every edge.
-    each = ", ".join(f"struct({i} as i, pos_{i} as pos, lo_{i} as lo, hi_{i} as hi)"
+    hist = (values.join(F.broadcast(targets), "column").where(inside)
+            .groupBy("column", "value").agg(F.expr("count(1) as c")))
+
+    # From here on only the values of the wanted buckets are left.
+    each = ", ".join(f"struct({i} as i, pos_{i} as pos, lo_{i} as lo, hi_{i} as hi, start_{i} as base)"
                      for i in range(len(ps)))
-    sub = f"""case when rep < lo then -1
-                   when hi > lo then least(int(floor((rep - lo) / (hi - lo) * {_SUBRANGES})),
+    sub = f"""case when hi > lo then least(int(floor((v - lo) / (hi - lo) * {_SUBRANGES})),
                                            {_SUBRANGES - 1})
                    else 0 end"""
     held = (hist.join(F.broadcast(targets), "column")
-            .select("column", "v", "rep", "c", F.expr(f"inline(array({each}))"))
-            .where("rep <= hi")
-            .select("column", "i", "pos", "v", "c", F.expr(f"{sub} as sub")))
+            .select("column", F.col("value").alias("v"), "c", F.expr(f"inline(array({each}))"))
+            .where("v between lo and hi")
+            .select("column", "i", "pos", "base", "v", "c", F.expr(f"{sub} as sub")))
 
-    # at most 1025 rows per (column, quantile)
+    # at most 1024 rows per (column, quantile)
     by_sub = Window.partitionBy("column", "i").orderBy("sub")
-    totals = (held.groupBy("column", "i", "pos", "sub").agg(F.sum("c").alias("c"))
-              .withColumn("start", F.sum("c").over(by_sub) - F.col("c")))
+    totals = (held.groupBy("column", "i", "pos", "base", "sub").agg(F.sum("c").alias("c"))
+              .withColumn("start", F.col("base") + F.sum("c").over(by_sub) - F.col("c")))
     wanted = totals.where(
-        "sub >= 0 and ((floor(pos) >= start and floor(pos) < start + c)"
-        "           or (ceil(pos) >= start and ceil(pos) < start + c))").select(
+        "(floor(pos) >= start and floor(pos) < start + c)"
+        " or (ceil(pos) >= start and ceil(pos) < start + c)").select(
         "column", "i", "sub", "start")
     in_sub = Window.partitionBy("column", "i", "sub").orderBy("v")
     ranked = (held.join(F.broadcast(wanted), ["column", "i", "sub"])
