@@ -268,9 +268,13 @@ def severity_rank(c: Column) -> Column:
 
 
 def num(c: Column, digits: int) -> Column:
-    """Fixed-point text of a number, rounded on its exact binary value."""
+    """Fixed-point text of a number.
+
+    Four digits more are rounded off first: the last bits of a sum depend on the
+    order of its terms and must not decide the text.
+    """
     pattern = "0" if digits == 0 else "0." + "0" * digits
-    return F.call_function("format_number", c, F.lit(pattern))
+    return F.call_function("format_number", F.round(c.cast("double"), digits + 4), F.lit(pattern))
 
 
 BUCKETS_PER_OCTAVE = 128

@@ -145,7 +145,7 @@ def drift_findings(current: DataFrame, reference: DataFrame, rule: str = "none",
         t, stage=8, ordinal=F.col("ordinal") + 1, finding_type=F.lit("DISTRIBUTION_DRIFT"),
         column=F.col("column"), severity=F.col("severity"), message=message,
         count=F.lit(None), pct=F.lit(None),
-        evidence=["column", F.round("d", 4).alias("ks_statistic"), F.round("p", 6).alias("p_value"),
+        evidence=["column", F.round("d", 4).alias("ks_statistic"), num(F.col("p"), 6).alias("p_value"),
                   F.lit(ALPHA).alias("alpha_threshold"), F.lit(D_THRESHOLD).alias("d_threshold"),
                   F.round("cur_mean", 4).alias("current_mean"),
                   F.round("ref_mean", 4).alias("reference_mean")])

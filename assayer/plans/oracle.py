@@ -171,7 +171,7 @@ SELECT 6, ordinal + 1, 'NUMERICAL_OUTLIERS', "column", severity, message, iqr_co
             'max_z_score', round(max_z, 2)) AS VARCHAR)
 FROM o_f UNION ALL
 SELECT 8, ordinal + 1, 'DISTRIBUTION_DRIFT', "column", severity, message, NULL, NULL, NULL, NULL,
-       CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', round(p, 6),
+       CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', printf('%.6f', p),
             'alpha_threshold', CAST(0.05 AS DOUBLE), 'd_threshold', CAST(0.1 AS DOUBLE),
             'current_mean', round(cur_mean, 4), 'reference_mean', round(ref_mean, 4)) AS VARCHAR)
 FROM k_d WHERE is_drift),
@@ -486,7 +486,7 @@ SQL["ks_pvalue"] = f"""WITH {ks('k', long_form('(SELECT * FROM orders WHERE o_or
                                long_form('(SELECT * FROM orders WHERE o_orderkey % 2 = 0)', _ODD))}
 SELECT "column", round(d, 4) AS ks_statistic, round(p, 6) AS p_value, is_drift FROM k_d"""
 SQL["drift_findings"] = f"""{EVENT_KS} SELECT "column" AS column_name, severity, message,
-  CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', round(p, 6),
+  CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', printf('%.6f', p),
        'alpha_threshold', CAST(0.05 AS DOUBLE), 'd_threshold', CAST(0.1 AS DOUBLE),
        'current_mean', round(cur_mean, 4), 'reference_mean', round(ref_mean, 4)) AS VARCHAR) AS evidence
 FROM k_d WHERE is_drift"""
@@ -543,8 +543,9 @@ def checks(runs: str = "runs", p: str = "") -> str:
       WHEN 'Output Rows' THEN 'Transformation, filtering, aggregation, or loading stage'
       WHEN 'Execution Duration (ms)' THEN 'Transformation, database query, resource utilization, or loading stage'
       ELSE 'Transformation, filtering, validation, or loading stage' END AS likely_area,
-    printf('Actual value: %.2f. Historical average: %.2f. Expected range: %.2f to %.2f. ', actual, average, lower_bound,
-           upper_bound) || printf('Deviation from historical average: %.2f%%.', deviation * 100) AS evidence
+    printf('Actual value: %.2f. Historical average: %.2f. Expected range: %.2f to %.2f. ', round(actual, 6),
+           round(average, 6), round(lower_bound, 6), round(upper_bound, 6)) ||
+    printf('Deviation from historical average: %.2f%%.', round(deviation * 100, 6)) AS evidence
   FROM {p}ck WHERE is_anomaly)"""
 
 
@@ -556,10 +557,10 @@ SQL["run_baseline"] = f"""{RUN_CHECKS} SELECT run_id, metric, n_other, round(act
   round(upper_bound, 4) AS upper_bound FROM bb"""
 SQL["metric_checks"] = f"""{RUN_CHECKS} SELECT run_id, metric, round(deviation, 4) AS deviation, is_anomaly,
   CASE WHEN is_anomaly THEN metric || ' is significantly outside the historical normal range. Actual value is ' ||
-      printf('%.2f', actual) || ', while the expected range is ' || printf('%.2f', lower_bound) || ' to ' ||
-      printf('%.2f', upper_bound) || '. The relative deviation is ' || printf('%.2f', deviation * 100) || '%.'
+      printf('%.2f', round(actual, 6)) || ', while the expected range is ' || printf('%.2f', round(lower_bound, 6)) || ' to ' ||
+      printf('%.2f', round(upper_bound, 6)) || '. The relative deviation is ' || printf('%.2f', round(deviation * 100, 6)) || '%.'
     WHEN is_outside THEN metric || ' is slightly outside the historical range, but the deviation is only ' ||
-      printf('%.2f', deviation * 100) || '%, which is below the 5% anomaly threshold.'
+      printf('%.2f', round(deviation * 100, 6)) || '%, which is below the 5% anomaly threshold.'
     ELSE metric || ' is within the historical normal range.' END AS explanation FROM ck"""
 SQL["run_anomalies"] = f"""{RUN_CHECKS} SELECT run_id, bool_or(is_anomaly) AS is_anomaly,
   avg(CAST(is_anomaly AS INTEGER)) AS anomaly_score,
@@ -578,13 +579,13 @@ RUN_CAUSES = f"""{RUN_CHECKS}, rc AS (SELECT *,
   metric IN ('Output Rows', 'Output/Input Ratio') AS is_loss,
   CASE metric WHEN 'Output Rows' THEN 0.85 WHEN 'Output/Input Ratio' THEN 0.9 ELSE 0.5 END AS conf,
   CASE metric WHEN 'Output Rows' THEN
-    printf('Output rows were %.0f, compared with a historical expected average of approximately %.0f rows. ', actual, average)
-    || printf('The expected output range was %.0f to %.0f rows. ', lower_bound, upper_bound)
-    || printf('Observed output deviation was %.2f%%.', deviation * 100)
-  WHEN 'Output/Input Ratio' THEN printf('Observed output/input ratio was %.4f. ', actual)
-    || printf('Historical expected ratio was %.4f. ', average)
-    || printf('The expected ratio range was %.4f to %.4f. ', lower_bound, upper_bound)
-    || printf('Ratio deviation was %.2f%%.', deviation * 100)
+    printf('Output rows were %.0f, compared with a historical expected average of approximately %.0f rows. ', round(actual, 4), round(average, 4))
+    || printf('The expected output range was %.0f to %.0f rows. ', round(lower_bound, 4), round(upper_bound, 4))
+    || printf('Observed output deviation was %.2f%%.', round(deviation * 100, 6))
+  WHEN 'Output/Input Ratio' THEN printf('Observed output/input ratio was %.4f. ', round(actual, 8))
+    || printf('Historical expected ratio was %.4f. ', round(average, 8))
+    || printf('The expected ratio range was %.4f to %.4f. ', round(lower_bound, 8), round(upper_bound, 8))
+    || printf('Ratio deviation was %.2f%%.', round(deviation * 100, 6))
   ELSE evidence END AS ev FROM rf),
 rcc AS (SELECT run_id, CASE WHEN is_loss THEN 0 ELSE metric_order END AS cause_order,
   max(CASE WHEN is_loss THEN
