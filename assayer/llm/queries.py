@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe
+from assayer.llm import bpe, decontam
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,36 @@ def query(f):
     return f
 
 
+@query
+def op7_wu_manber(spark, sf):
+    """Benchmark windows found in every document."""
+    return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+SQL["op7_wu_manber"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     p AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+           FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                 FROM (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0))),
+     g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+           FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                 FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+     m AS (SELECT r, i, g.n, item_id FROM g JOIN p ON g.n = p.n AND g.s = p.s),
+     h AS (SELECT r, count(DISTINCT k) AS n_hit
+           FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+     t AS (SELECT r, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
 @query
 def op10_bpe_transducer(spark, sf):
     """Ids and decoded text of every document, as digests."""
