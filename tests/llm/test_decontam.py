@@ -53,7 +53,7 @@ def test_rows_and_shards(spark):
     texts = [None, "", "One, two three FOUR!", "five six seven eight nine", "five six seven eight nine", "none here",
              "x " * 30_000 + "nine"]
     docs = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
-    want = {(i, *brute(t, [(None if k is None else str(k), x) for k, x in items], 13)) for i, t in enumerate(texts)}
+    want = [(i, *brute(t, [(None if k is None else str(k), x) for k, x in items], 13)) for i, t in enumerate(texts)]
     for size in (10, 10 ** 6):  # several shards, one shard
         out = decontam.with_hits(docs, bench, shard_chars=size).collect()
         got = [(r.doc_id, r.hits.n_words, r.hits.n_hit, r.hits["items"]) for r in out]
