@@ -2,13 +2,14 @@
 
 A sequence of tokens is the BPE encoding of its bytes exactly if every two
 neighbours are what the merges make of their own bytes.  So a transducer over
-bytes can be written down: a configuration is the last token emitted, the place
-in the trie of tokens reached since, and the tokens that are not certain yet.  Reading a byte moves every
-configuration along the trie and, where a token ends that may follow the last
-one, adds the configuration behind that token.  ``Transducer`` determinises
-this lazily: the set of configurations is a state, made when a text first leads to it, and
-a token leaves as soon as all configurations agree on it, which the length of
-the longest token bounds.
+bytes can be written down: a configuration is the last token and the place in
+the trie of tokens reached since.  Reading a byte moves every configuration
+along the trie; where a token ends that may follow the last one, there is a
+configuration behind that token, and for every prefix exactly one.
+``Transducer`` determinises this lazily: the set of configurations is a state,
+made when a text first leads to it, and holds the last token of its prefix.
+Tokens leave when all configurations agree on them, which lie no further apart
+than the longest token.
 
 Rows: one result per input row, repeated rows included.  A null or empty text
 has no ids and decodes to the empty text.  Other columns pass through untouched.
@@ -27,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROOT = 0
+#: Bytes after which what is certain leaves, at the latest.
+LOOKAHEAD = 1024
+#: Tokens below a place in the trie that a configuration lists instead of the last token.
+FEW = 8
 #: Entries after which a task forgets what it has memorised.  Results do not depend on it.
-MEMO_STATES = 200_000
-MEMO_PAIRS = 1_000_000
-MEMO_WORDS = 250_000
+MEMO_STATES = 100_000
+MEMO_PAIRS = 500_000
+MEMO_WORDS = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,23 +50,39 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.parts: dict[int, tuple[int, int]] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         self.children: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.ends, self.depth = [-1], [0]
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1 or self._split(token, rank):
                 self._insert(token, rank)
-        self.longest = max(map(len, ranks), default=1)
-        self.spines: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        #: Tokens further down, where they are few: there what may follow stands for the last token.
+        self.below: list[tuple[int, ...] | None] = [None] * len(self.children)
+        for node in reversed(range(len(self.children))):
+            kids = self.children[node].values()
+            if all(self.below[k] is not None for k in kids):
+                few = [t for k in kids for t in (*self.below[k], self.ends[k]) if t >= 0]
+                self.below[node] = tuple(few) if len(few) <= FEW else None
         self.forget()
 
     def forget(self) -> None:
         self.pairs: dict[tuple[int, int], bool] = {}
-        start = ((-1, ROOT, ()),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.rest: list[tuple[int, ...]] = [()]
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.moves: list[dict[int, int]] = []
+        self.last: list[int] = []
+        self._state(((-1, ROOT),), -1)
+
+    def _state(self, configurations: tuple, last: int) -> int:
+        known = self.ids.get(configurations)
+        if known is None:
+            known = self.ids[configurations] = len(self.states)
+            self.states.append(configurations)
+            self.moves.append({})
+            self.last.append(last)
+        return known
 
     def _insert(self, token: bytes, rank: int) -> None:
         node = ROOT
@@ -70,6 +91,7 @@ class Transducer:
                 self.children[node][b] = len(self.children)
                 self.children.append({})
                 self.ends.append(-1)
+                self.depth.append(self.depth[node] + 1)
             node = self.children[node][b]
         self.ends[node] = rank
 
@@ -129,66 +151,71 @@ class Transducer:
             self.pairs[left, right] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        after = []
-        for last, node, out in self.states[state]:
+    def _move(self, state: int, byte: int) -> int:
+        after, whole = [], -1
+        for last, node in self.states[state]:  # last: a token, or the tokens that may still come
             child = self.children[node].get(byte)
             if child is None:
                 continue
-            if self.children[child]:
-                after.append((last, child, out))
+            listed = type(last) is tuple
             token = self.ends[child]
-            if token >= 0 and self.may_follow(last, token):
-                after.append((token, ROOT, (*out, token)))
-        emitted, whole = (), [c for c in after if c[1] == ROOT]
-        if after and all([c[2] for c in after]):
-            outs, sure = [c[2] for c in after], 0
-            for tokens in zip(*outs):
-                if tokens.count(tokens[0]) < len(tokens):
-                    break
-                sure += 1
-            if sure:
-                emitted = outs[0][:sure]
-                after = [(last, node, out[sure:]) for last, node, out in after]
-                whole = [c for c in after if c[1] == ROOT]
-        if len(whole) != 1:
+            if token >= 0 and (token in last if listed else self.may_follow(last, token)):
+                whole = token
+            if self.children[child]:
+                below = self.below[child]
+                if below is not None:
+                    last = tuple([t for t in below if (t in last if listed else self.may_follow(last, t))])
+                    if not last:
+                        continue
+                after.append((last, child))
+        if whole < 0:
             raise ValueError("these ranks are not those of a byte-level BPE")
-        key = tuple(after)
-        target = self.ids.get(key)
-        if target is None:
-            target = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-            self.rest.append(whole[0][2])
-        found = self.moves[state][byte] = (target, emitted)
+        after.append((whole, ROOT))
+        found = self.moves[state][byte] = self._state(tuple(after), whole)
         return found
 
+    def _back(self, lasts: list[int], at: int, out: list[int]) -> None:
+        """Append the tokens of the first ``at`` bytes."""
+        tokens = []
+        while at:
+            tokens.append(lasts[at - 1])
+            at -= self.size[tokens[-1]]
+        out.extend(reversed(tokens))
+
+    def _certain(self, lasts: list[int], state: int) -> int:
+        """Bytes up to which all configurations agree on the tokens."""
+        starts = sorted({len(lasts) - self.depth[node] for _, node in self.states[state]})
+        at = starts[0]
+        for start in starts[1:]:
+            while start != at:
+                if start > at:
+                    start -= self.size[lasts[start - 1]]
+                else:
+                    at -= self.size[lasts[at - 1]]
+        return at
+
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece of text.  A piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MEMO_STATES:
-            self.forget()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                step = self._move(state, byte)
-                if len(self.states) > 2 * MEMO_STATES:
-                    here = self.states[step[0]]
-                    self.forget()
-                    moves = self.moves
-                    self.states.append(here)
-                    self.ids[here] = 1
-                    self.moves.append({})
-                    self.rest.append(next(c[2] for c in here if c[1] == ROOT))
-                    step = (1, step[1])
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.rest[state])
+        state, lasts = 0, []
+        for begin in range(0, len(piece), LOOKAHEAD):
+            if begin:
+                sure = self._certain(lasts, state)
+                self._back(lasts, sure, out)
+                del lasts[:sure]
+            if len(self.states) > MEMO_STATES:
+                here, last = self.states[state], self.last[state]
+                self.forget()
+                state = self._state(here, last)
+            moves, last = self.moves, self.last
+            for byte in piece[begin:begin + LOOKAHEAD]:
+                step = moves[state].get(byte)
+                state = self._move(state, byte) if step is None else step
+                lasts.append(last[state])
+        self._back(lasts, len(lasts), out)
         return out
 
 
@@ -322,6 +349,19 @@ def encode_documents(docs: DataFrame, vocab, pattern: str, text: str = "text", i
     return docs.withColumn(into, encode(F.col(text)))
 
 
+def round_trip(docs: DataFrame, vocab, pattern: str, text: str = "text", into: str = "coded") -> DataFrame:
+    """``docs`` with a struct of ids and of the text decoded from them, made in one pass."""
+    @F.pandas_udf("ids binary, decoded string")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words, machine = Words(_once(Transducer, vocab)), _once(Decoder, vocab)
+        find = regex.compile(pattern).findall
+        for batch in batches:
+            ids = [b"".join([words[w] for w in find(t)]) if t else b"" for t in batch]
+            yield pd.DataFrame({"ids": ids, "decoded": [machine.decode(i) for i in ids]}, dtype=object)
+
+    return docs.withColumn(into, code(F.col(text)))
+
+
 def decode_documents(docs: DataFrame, vocab, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of a binary column of ids (see ``encode_documents``)."""
     @F.pandas_udf("string")
@@ -333,7 +373,7 @@ def decode_documents(docs: DataFrame, vocab, ids: str = "ids", into: str = "deco
     return docs.withColumn(into, decode(F.col(ids)))
 
 
-def digests(coded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def digests(coded: DataFrame, ids: str = "coded.ids", decoded: str = "coded.decoded") -> DataFrame:
     """Token count and digests of ids and of decoded text."""
     return coded.select("doc_id", (F.length(ids) / 4).cast("long").alias("n_tokens"),
                         F.sha2(F.col(ids), 256).alias("ids_sha256"),

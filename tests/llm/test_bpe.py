@@ -39,6 +39,7 @@ def test_random_pieces(machine, library):
 
 def test_long_piece_and_forgetting(machine, library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_STATES", 50)
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 200)
     rnd = random.Random(3)
     t = "".join(rnd.choice("abcdeth") for _ in range(5000)).encode()
     assert machine.encode(t) == library._encode_single_piece(t)
@@ -73,7 +74,9 @@ def test_rows(spark, library):
     got = sorted(((r.text or "", r.ids, r.decoded) for r in out.collect()))
     want = sorted((t or "", np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), t or "") for t in texts)
     assert [(a, bytes(b), c) for a, b, c in got] == want
-    assert bpe.digests(out.limit(0)).count() == 0
+    both = bpe.round_trip(docs, vocab, public_tokenizers.PATTERN)
+    assert sorted((r.text or "", bytes(r.coded.ids), r.coded.decoded) for r in both.collect()) == want
+    assert bpe.digests(both.limit(0)).count() == 0
 
 
 def test_query(spark, data, library):
