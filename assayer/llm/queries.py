@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, decontam
+from assayer.llm import bpe, decontam, simhash
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(f):
     return f
 
 
+@query
+def op4_simhash(spark, sf):
+    """Fingerprint and component of every document."""
+    return simhash.report(table(spark, sf, "documents"))
+
+
 @query
 def op7_wu_manber(spark, sf):
     """Benchmark windows found in every document."""
@@ -57,5 +63,4 @@ def op10_bpe_transducer(spark, sf):
     """Ids and decoded text of every document, as digests."""
     vocab = bpe.vocabulary(spark, public_tokenizers.path(MULTI_RANKS))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = bpe.encode_documents(docs, vocab, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode_documents(coded, vocab))
+    return bpe.digests(bpe.round_trip(docs, vocab, public_tokenizers.PATTERN))
