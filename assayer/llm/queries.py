@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, decontam, simhash
+from assayer.llm import bpe, decontam, quality, simhash
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def op4_simhash(spark, sf):
     return simhash.report(table(spark, sf, "documents"))
 
 
+@query
+def op5_quality_trees(spark, sf):
+    """Quality score of every document."""
+    return quality.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op7_wu_manber(spark, sf):
     """Benchmark windows found in every document."""
