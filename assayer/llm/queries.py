@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, decontam, quality, simhash
+from assayer.llm import bpe, chat, decontam, quality, simhash, urls
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,24 @@ def query(f):
     return f
 
 
+@query
+def op1_chat_snapshots(spark, sf):
+    """Maximal conversations, rendered."""
+    return chat.render(table(spark, sf, "conversations"))
+
+
+SQL["op1_chat_snapshots"] = chat.SQL
+
+
+@query
+def op2_url_equivalence(spark, sf):
+    """Verdict on every page."""
+    return urls.judge(table(spark, sf, "pages"))
+
+
+SQL["op2_url_equivalence"] = urls.SQL
+
+
 @query
 def op4_simhash(spark, sf):
     """Fingerprint and component of every document."""
