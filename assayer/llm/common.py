@@ -40,10 +40,10 @@ def slices(texts: Sequence[str], limit: int = 8_000_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def in_slices(batches: Iterator[pd.DataFrame], text: str, work: Callable[[pd.DataFrame], pd.DataFrame]
-              ) -> Iterator[pd.DataFrame]:
+def in_slices(batches: Iterator[pd.DataFrame], text: str, work: Callable[[pd.DataFrame], pd.DataFrame],
+              limit: int = 8_000_000) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for a, b in slices(batch[text].tolist()):
+        for a, b in slices(batch[text].tolist(), limit):
             yield work(batch.iloc[a:b])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, decontam, quality, simhash, urls
+from assayer.llm import bpe, chat, decontam, gru, quality, simhash, urls
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+@query
+def op8_gru(spark, sf):
+    """Log-probability of every document."""
+    return gru.report(table(spark, sf, "documents"))
+
+
 @query
 def op10_bpe_transducer(spark, sf):
     """Ids and decoded text of every document, as digests."""
