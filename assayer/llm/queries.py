@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, decontam, gru, quality, simhash, urls
+from assayer.llm import bpe, chat, decontam, gru, quality, simhash, topk, urls
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,15 @@ def op5_quality_trees(spark, sf):
     return quality.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op6_segment_topk(spark, sf):
+    """The 20 best rows by inner product for every 20th vector."""
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+SQL["op6_segment_topk"] = topk.SQL
+
+
 @query
 def op7_wu_manber(spark, sf):
     """Benchmark windows found in every document."""
