@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, decontam, gru, quality, simhash, topk, urls
+from assayer.llm import bpe, chat, decontam, gru, packing, quality, simhash, tokencount, topk, urls
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 
 #: The vocabulary and the pattern that the byte-level queries use.
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+PACK_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def query(f):
@@ -40,6 +41,13 @@ def op2_url_equivalence(spark, sf):
 SQL["op2_url_equivalence"] = urls.SQL
 
 
+@query
+def op3_best_fit_packing(spark, sf):
+    """All documents as rows of a packed id matrix."""
+    vocab = bpe.vocabulary(spark, public_tokenizers.path(PACK_RANKS))
+    return packing.pack(table(spark, sf, "documents"), vocab)
+
+
 @query
 def op4_simhash(spark, sf):
     """Fingerprint and component of every document."""
@@ -97,6 +105,13 @@ def op8_gru(spark, sf):
     return gru.report(table(spark, sf, "documents"))
 
 
+@query
+def op9_trie_counts(spark, sf):
+    """Tokens of every document under the unigram model."""
+    vocab = bpe.vocabulary(spark, public_tokenizers.path(MULTI_RANKS))
+    return tokencount.count_tokens(table(spark, sf, "documents"), vocab, public_tokenizers.PATTERN)
+
+
 @query
 def op10_bpe_transducer(spark, sf):
     """Ids and decoded text of every document, as digests."""
