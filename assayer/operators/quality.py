@@ -82,10 +82,19 @@ def group_keys(df: DataFrame, normalise: str = "string") -> list[Column]:
     raise ValueError(f"unknown normalise: {normalise}")
 
 
+def row_digest(df: DataFrame, normalise: str = "string") -> Column:
+    """256-bit digest of what makes rows equal.  Each text is led by its length, a null has
+    none, so different rows have different texts."""
+    texts = []
+    for k in group_keys(df, normalise):
+        t = k.cast("string")
+        texts.append(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")))
+    return F.sha2(F.concat(*texts) if texts else F.lit(""), 256)
+
+
 def duplicate_counts(df: DataFrame, normalise: str = "string") -> DataFrame:
-    """One row (total_rows, duplicate_count); copies combine before the shuffle."""
-    keys = [k.alias(f"k{i}") for i, k in enumerate(group_keys(df, normalise))]
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    """One row (total_rows, duplicate_count); digests travel, and copies combine before the shuffle."""
+    return (df.groupBy(row_digest(df, normalise).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
             .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
                  F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_count")))
 

@@ -13,8 +13,9 @@ from assayer.functions.expr import (as_text, data_type, missing, num, numeric,
                                     quoted, row_id, stripped)
 from assayer.operators.findings import numbered
 from assayer.operators.outliers import outlier_stats
-from assayer.operators.quality import group_keys
+from assayer.operators.quality import row_digest
 from assayer.operators.quantiles import exact_quantiles
+from assayer.session import written
 
 # fixed values
 APPROVAL_PCT = 15.0
@@ -173,7 +174,7 @@ def impute_values(df: DataFrame, columns: Sequence[str], order_key: str,
         for c in columns])
     modes = (base.select("_order", F.inline(cells)).where(F.col("text").isNotNull())
              .groupBy("column", "text").agg(F.count(F.lit(1)).alias("c"), F.min("_order").alias("first"))
-             .groupBy("column").agg(F.max_by("text", F.struct("c", -F.col("first"))).alias("mode")))
+             .groupBy("column").agg(F.min_by("text", F.struct((-F.col("c")).alias("c"), "first")).alias("mode")))
     number = ((F.col("numbers") > 0) & (F.col("numbers") >= F.col("texts")))
     # Python rounds halves to even
     as_number = F.when(F.col("whole"), F.bround("median", 0).cast("long").cast("string")) \
@@ -187,17 +188,29 @@ def impute_values(df: DataFrame, columns: Sequence[str], order_key: str,
 # --- apply ----------------------------------------------------------------------
 
 def deduplicate(df: DataFrame, order_key: str | Sequence[str], normalise: str = "trimmed") -> DataFrame:
-    """Keep the first row of each group of equal rows.
+    """Keep the first row of each group of equal rows."""
+    return split_duplicates(df, order_key, normalise)[0]
 
-    An aggregate, not a ranking window: copies combine on the map side, so a row
-    that fills a third of the table does not end up in one task.
+
+def split_duplicates(df: DataFrame, order_key: str | Sequence[str], normalise: str = "trimmed"
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): the first row of each group of equal rows, and its later copies.
+
+    Only digests of rows are grouped, and counts of copies combine before the
+    shuffle.  Rows that have no copy pass by; of the others the first one is an
+    aggregate again, so a row that fills a third of the table is one partial row
+    per task.
     """
     keys = [order_key] if isinstance(order_key, str) else list(order_key)
-    groups = [k.alias(f"_g{i}") for i, k in enumerate(group_keys(df, normalise))]
-    whole = F.struct(*[quoted(c) for c in df.columns])
-    return (df.groupBy(*groups)
-            .agg(F.min_by(whole, F.struct(*[quoted(k) for k in keys])).alias("_row"))
-            .select("_row.*"))
+    marked = df.withColumn("_digest", row_digest(df, normalise))
+    several = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    single = marked.join(several, "_digest", "left_anti").drop("_digest")
+    copies = marked.join(several, "_digest").withColumn("_row", F.struct(*[quoted(c) for c in df.columns]))
+    order = F.struct(*[quoted(k) for k in keys])
+    groups = copies.groupBy("_digest").agg(F.min_by("_row", order).alias("_row"), F.first("_copies").alias("_copies"))
+    # copies are equal by meaning, so the removed ones are told by number
+    removed = groups.select("_row.*", F.explode(F.sequence(F.lit(2), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return single.unionByName(groups.select("_row.*")), removed
 
 
 def quarantine_missing(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -209,25 +222,34 @@ def quarantine_missing(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame
 def impute(df: DataFrame, column: str, value: Column, treat_unknown_as_missing: bool = True) -> DataFrame:
     """Fill missing cells (and the word UNKNOWN) with ``value``, a literal or a
     scalar subquery over a one-row frame."""
+    gone = gaps(df, column, treat_unknown_as_missing)
+    # a value that the column's type can't hold (UNKNOWN for an all-null number) leaves the cell null
+    return df.withColumn(column, F.when(gone, value.try_cast(data_type(df, column)))
+                         .otherwise(quoted(column)))
+
+
+def gaps(df: DataFrame, column: str, treat_unknown_as_missing: bool = True) -> Column:
+    """Cells that :func:`impute` fills."""
     gone = missing(df, column)
     if treat_unknown_as_missing and isinstance(data_type(df, column), T.StringType):
-        gone = gone | (F.upper(stripped(quoted(column))) == UNKNOWN)
-    return df.withColumn(column, F.when(gone, value.cast(data_type(df, column)))
-                         .otherwise(quoted(column)))
+        gone = gone | F.coalesce(F.upper(stripped(quoted(column))) == UNKNOWN, F.lit(False))
+    return gone
 
 
 def impute_from(df: DataFrame, column: str, order_key: str) -> DataFrame:
-    value = impute_values(df, [column], order_key).select("impute_value").scalar()
-    return impute(df, column, value)
+    """The value is worked out once and written, so that what follows reads one row."""
+    value = written(impute_values(df, [column], order_key).select("impute_value"), "value")
+    return impute(df, column, value.scalar())
 
 
 def quarantine_outliers(df: DataFrame, column: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(kept, quarantined): exactly the rows outside the fences of ``column``.
 
-    The fences are one row, so they are read as a scalar; no join by row is needed
-    and rows that share a key are judged each on its own value.
+    The fences are one row, worked out once, written and read as a scalar: no join by
+    row is needed, and a chain of such steps does not repeat the ones before it.
     """
-    fences = outlier_stats(df, [column]).select(F.struct("lower_fence", "upper_fence")).scalar()
+    fences = written(outlier_stats(df, [column]).select(F.struct("lower_fence", "upper_fence").alias("f")),
+                     "fences").scalar()
     x = numeric(df, column)
     marked = df.withColumn("_f", fences).withColumn("_out", F.coalesce(
         (x < F.col("_f.lower_fence")) | (x > F.col("_f.upper_fence")), F.lit(False)))
@@ -249,58 +271,82 @@ def restore_column(df: DataFrame, column: str, logical_type: str = "string") ->
     return df.withColumn(column, F.lit(None).cast(SQL_TYPES.get(logical_type, "string")))
 
 
-def apply_action(df: DataFrame, action: dict, keys: Sequence[str]) -> DataFrame:
+def split_action(df: DataFrame, action: dict, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(table after the action, rows it set aside or None)."""
     kind, target = action["action_type"], action.get("target")
     if kind == "DEDUPLICATE_ROWS":
-        return deduplicate(df, keys)
+        return split_duplicates(df, keys)
     if kind == "QUARANTINE_NULL_RECORDS":
-        return quarantine_missing(df, target)[0]
+        return quarantine_missing(df, target)
     if kind == "IMPUTE_DEFAULT_VALUE":
         value = action.get("impute_value")
         if value is None or value == UNKNOWN:
-            return impute_from(df, target, keys[0])
-        return impute(df, target, F.lit(value))
+            return impute_from(df, target, keys[0]), None
+        return impute(df, target, F.lit(value)), None
     if kind == "QUARANTINE_ML_OUTLIERS":
         if target == "MULTIVARIATE":
             from assayer.operators.forest import forest_rows
-            return quarantine_rows(df, forest_rows(df, keys), keys)[0]
-        return quarantine_outliers(df, target, keys)[0]
+            return quarantine_rows(df, written(forest_rows(df, keys).select("_rid"), "flagged"), keys)
+        return quarantine_outliers(df, target, keys)
     if kind == "RESTORE_SCHEMA_COLUMN":
-        return restore_column(df, target, action.get("column_type") or "string")
-    return df  # ACCEPT_NEW_COLUMN changes the expected schema, not the rows
+        return restore_column(df, target, action.get("column_type") or "string"), None
+    return df, None  # ACCEPT_NEW_COLUMN changes the expected schema, not the rows
 
 
-def apply_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]) -> DataFrame:
-    """Each action on the result of the one before, as one lazy plan."""
-    return reduce(lambda d, a: apply_action(d, a, keys), actions, df)
+def apply_action(df: DataFrame, action: dict, keys: Sequence[str]) -> DataFrame:
+    return split_action(df, action, keys)[0]
 
 
-def action_audit(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]) -> DataFrame:
-    """Rows affected by each action: change of the row count, or cells filled.
+# actions that read their whole input to find out what to do
+_MEASURING = ("DEDUPLICATE_ROWS", "QUARANTINE_ML_OUTLIERS", "IMPUTE_DEFAULT_VALUE")
+
+
+def run_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]
+                ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(repaired table, rows set aside, log): each action on the result of the one before.
 
-    The plan of an audit has few actions; every step contributes one row.
+    An action that measures its input reads a written table, so the work is linear
+    in the number of actions.  Rows set aside carry the step, action and target;
+    columns that appear later are null in them.  The log has one row per action:
+    rows or cells affected, counts before and after.  Only these counts, a row per action, reach the driver.
     """
-    out, current = [], df
-    for i, action in enumerate(actions, start=1):
-        after = apply_action(current, action, keys)
-        fills = action["action_type"] == "IMPUTE_DEFAULT_VALUE"
-
-        def counted(d):
-            gaps = F.count_if(missing(d, action["target"])) if fills else F.lit(0).cast("long")
-            return d.agg(F.struct(F.count(F.lit(1)).alias("rows"), gaps.alias("gaps")).alias("s"))
-
-        row = counted(current).select(F.col("s").alias("b"), counted(after).scalar().alias("a"))
-        affected = (F.col("b.gaps") - F.col("a.gaps") if fills
-                    else F.abs(F.col("b.rows") - F.col("a.rows")))
-        if action["action_type"] in ("RESTORE_SCHEMA_COLUMN", "ACCEPT_NEW_COLUMN"):
-            affected = F.lit(0).cast("long")
-        out.append(row.select(
-            F.lit(i).alias("step"), F.lit(action["action_type"]).alias("action_type"),
-            F.lit(action.get("target")).alias("target"), affected.alias("rows_affected"),
-            F.col("b.rows").alias("before_count"), F.col("a.rows").alias("after_count"),
-            F.lit("SUCCESS").alias("execution_status")))
-        current = after
-    return reduce(DataFrame.unionByName, out)
+    spark, log, aside, current, stored = df.sparkSession, [], [], df, False
+    n = None
+    for step, action in enumerate(actions, start=1):
+        kind, target = action["action_type"], action.get("target")
+        if kind in _MEASURING and step > 1 and not stored:
+            current, stored = written(current, "step"), True
+        after, gone = split_action(current, action, keys)
+        if n is None:
+            n = current.count()
+        affected, status, left = 0, "SUCCESS", n
+        if gone is not None:
+            gone = written(gone, "aside")
+            affected = gone.count()
+            left = n - affected
+            aside.append(gone.select("*", F.lit(step).alias("_step"), F.lit(kind).alias("_action_type"),
+                                     F.lit(target).alias("_target")))
+        elif kind == "IMPUTE_DEFAULT_VALUE":
+            before = current.agg(F.count_if(missing(current, target))).first()[0]
+            affected = before - after.agg(F.count_if(missing(after, target))).first()[0]
+            status = "SUCCESS" if affected or not before else "NO_VALUE_FOR_TYPE"
+        log.append((step, kind, target, affected, n, left, status))
+        if after is not current:
+            current, stored = after, False
+        n = left
+    schema = ("step int, action_type string, target string, rows_affected long, before_count long, after_count long, "
+              "execution_status string")
+    return (current, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aside) if aside else None,
+            spark.createDataFrame(log, schema))
+
+
+def apply_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]) -> DataFrame:
+    return run_actions(df, actions, keys)[0]
+
+
+def action_audit(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]) -> DataFrame:
+    """Rows or cells affected by each action."""
+    return run_actions(df, actions, keys)[2]
 
 
 # --- verify -----------------------------------------------------------------------

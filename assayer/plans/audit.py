@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -13,9 +14,9 @@ from assayer.operators.findings import union_findings
 from assayer.operators.forest import forest_findings
 from assayer.operators.outliers import outlier_findings
 from assayer.operators.quality import duplicate_findings, empty_findings, missing_findings
-from assayer.operators.recovery import (apply_actions, gate_actions, impute_values, propose_actions,
+from assayer.operators.recovery import (gate_actions, impute_values, propose_actions, run_actions,
                                         verify)
-from assayer.operators.schema import infer_schema, schema_findings
+from assayer.operators.schema import accept_columns, infer_schema, schema_findings
 from assayer.session import written
 
 
@@ -46,19 +47,34 @@ def plan_recovery(df: DataFrame, findings: DataFrame, order_key: str) -> DataFra
 
 def recover(df: DataFrame, *, keys: Sequence[str], role: str = "ADMIN",
             expected: DataFrame | None = None, reference: DataFrame | None = None,
-            **options) -> dict[str, DataFrame]:
+            target: str | None = None, **options) -> dict[str, DataFrame | None]:
     """Audit, repair what the role may repair, audit again with the same detectors.
 
     The findings and the plan are small and written once; the repaired table is
     written before it is audited, so the second audit does not run the repairs
-    again.  Only the plan (one row per finding) comes to the driver.
+    again.  Only the plan (one row per finding) comes to the driver.  Accepted
+    columns join the expected schema of the second audit.  ``quarantine`` has the
+    rows set aside (None if no action sets rows aside), ``log`` a row per action.
+    With ``target`` the repaired table and the quarantine are kept there, in
+    folders of these names.
     """
     order_key = keys[0]
     check = dict(order_key=order_key, expected=expected, reference=reference, **options)
     before = written(audit(df, **check), "findings")
     plan = written(gate_actions(plan_recovery(df, before, order_key), role), "plan")
-    rows = plan.where(F.col("execution_status") == "AUTHORIZED").orderBy("position").collect()
-    repaired = written(apply_actions(df, [r.asDict() for r in rows], keys), "repaired")
+    rows = [r.asDict() for r in plan.where(F.col("execution_status") == "AUTHORIZED").orderBy("position").collect()]
+    repaired, aside, log = run_actions(df, rows, keys)
+    if target:
+        repaired.write.parquet(os.path.join(target, "repaired"))
+        repaired = df.sparkSession.read.parquet(os.path.join(target, "repaired"))
+        if aside is not None:
+            aside.write.parquet(os.path.join(target, "quarantine"))
+            aside = df.sparkSession.read.parquet(os.path.join(target, "quarantine"))
+    else:
+        repaired = written(repaired, "repaired")
+    accepted = [r["target"] for r in rows if r["action_type"] == "ACCEPT_NEW_COLUMN"]
+    if expected is not None and accepted:
+        check["expected"] = accept_columns(expected, infer_schema(repaired).where(F.col("column").isin(accepted)))
     after = written(audit(repaired, **check), "findings")
-    return {"before": before, "plan": plan, "repaired": repaired, "after": after,
+    return {"before": before, "plan": plan, "repaired": repaired, "quarantine": aside, "log": log, "after": after,
             "verdict": verify(before, after, df, repaired)}

@@ -822,6 +822,24 @@ SELECT 1 AS step, 'DEDUPLICATE_ROWS' AS action_type, 'ALL_ROWS' AS target, n0 -
 SELECT 2, 'QUARANTINE_NULL_RECORDS', 'o_custkey', n1 - n2, n1, n2, 'SUCCESS' FROM n UNION ALL
 SELECT 3, 'IMPUTE_DEFAULT_VALUE', 'o_orderpriority', filled, n2, n3, 'SUCCESS' FROM n UNION ALL
 SELECT 4, 'QUARANTINE_ML_OUTLIERS', 'o_totalprice', n3 - n4, n3, n4, 'SUCCESS' FROM n"""
+SQL["remediate_text_key"] = f"""WITH {FO}, tk AS (SELECT DISTINCT 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS order_key,
+  o_orderpriority, o_totalprice FROM fo)
+SELECT order_key, CASE WHEN {KNOWN} THEN o_orderpriority ELSE (SELECT arg_min(t, (-c, f)) FROM (
+    SELECT trim(o_orderpriority) AS t, count(*) AS c, min(order_key) AS f FROM tk WHERE {KNOWN} GROUP BY 1)) END
+  AS o_orderpriority, o_totalprice, CAST(NULL AS DOUBLE) AS o_note FROM tk"""
+OUT_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount")
+SQL["remediate_two_outliers"] = f"WITH {FL}, o0 AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, " + ", ".join(
+    OUT_COLUMNS) + " FROM fl)" + "".join(
+    f", o{i + 1} AS (SELECT o{i}.* FROM o{i}, {fence(f'o{i}', c)} WHERE {c} IS NULL OR {c} BETWEEN lo AND hi)"
+    for i, c in enumerate(OUT_COLUMNS)) + " SELECT * FROM o3"
+SQL["remediate_quarantine_log"] = f"""{STEPS},
+q AS (SELECT 1 AS step, 'DEDUPLICATE_ROWS' AS action_type, 'ALL_ROWS' AS target, (SELECT count(*) FROM fo) - (SELECT count(*) FROM a1) AS n,
+    (SELECT sum(o_orderkey) FROM fo) - (SELECT sum(o_orderkey) FROM a1) AS k
+  UNION ALL SELECT 2, 'QUARANTINE_NULL_RECORDS', 'o_custkey', count(*), sum(o_orderkey) FROM a1 WHERE o_custkey IS NULL
+  UNION ALL SELECT 4, 'QUARANTINE_ML_OUTLIERS', 'o_totalprice', (SELECT count(*) FROM a3) - (SELECT count(*) FROM a4),
+    (SELECT sum(o_orderkey) FROM a3) - (SELECT sum(o_orderkey) FROM a4))
+SELECT step, action_type, target, n AS rows_affected, nullif(n, 0) AS rows_aside, CAST(k AS BIGINT) AS key_sum FROM q
+UNION ALL SELECT 3, 'IMPUTE_DEFAULT_VALUE', 'o_orderpriority', (SELECT count(*) FROM a2 WHERE trim(o_orderpriority) = ''), NULL, NULL"""
 SQL["verify_recovery"] = f"""WITH {FO}, b AS (SELECT
   (SELECT count(*) FROM ({missing_values('fo', ORDER_COLUMNS, 'o_orderkey')})) +
   (SELECT count(*) FROM ({duplicates('fo', ', '.join(ORDER_COLUMNS))})) AS n0, (SELECT count(*) FROM fo) AS r0),

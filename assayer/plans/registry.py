@@ -738,6 +738,44 @@ def action_audit(spark, sf):
     return recovery.action_audit(faulted_orders(spark, sf), ORDER_ACTIONS, ["o_orderkey"])
 
 
+TEXT_ACTIONS = [
+    {"action_type": "DEDUPLICATE_ROWS", "target": "ALL_ROWS"},
+    {"action_type": "IMPUTE_DEFAULT_VALUE", "target": "o_orderpriority"},
+    {"action_type": "IMPUTE_DEFAULT_VALUE", "target": "o_note"},
+]
+
+
+def text_keyed_orders(spark, sf):
+    """Orders keyed by text, with a number column that is null in every row."""
+    return faulted_orders(spark, sf).select(
+        F.concat(F.lit("ORD-"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("order_key"),
+        "o_orderpriority", "o_totalprice", F.lit(None).cast("double").alias("o_note"))
+
+
+@query
+def remediate_text_key(spark, sf):
+    """Repairs in a table whose key is text and one of whose columns no value fits."""
+    return recovery.apply_actions(text_keyed_orders(spark, sf), TEXT_ACTIONS, ["order_key"])
+
+
+@query
+def remediate_two_outliers(spark, sf):
+    """Three outlier actions, each on the table that the one before left."""
+    return recovery.apply_actions(
+        faulted_lineitem(spark, sf).select(*LINE_KEYS, "l_quantity", "l_extendedprice", "l_discount"),
+        [{"action_type": "QUARANTINE_ML_OUTLIERS", "target": c} for c in ("l_quantity", "l_extendedprice", "l_discount")],
+        LINE_KEYS)
+
+
+@query
+def remediate_quarantine_log(spark, sf):
+    """Rows that each action set aside, counted beside its log."""
+    _, aside, log = recovery.run_actions(faulted_orders(spark, sf), ORDER_ACTIONS, ["o_orderkey"])
+    kept = aside.groupBy(F.col("_step").alias("step")).agg(
+        F.count(F.lit(1)).alias("rows_aside"), F.sum(F.col("o_orderkey").cast("long")).alias("key_sum"))
+    return log.join(kept, "step", "left").select("step", "action_type", "target", "rows_affected", "rows_aside", "key_sum")
+
+
 def action_requests(actions):
     """What a caller asks for: the plan itself, one item without id, one forged type,
     one unknown target."""
