@@ -19,9 +19,11 @@ IDENTIFIER_NAMES = (
     "id", "order_id", "customer_id", "product_id", "seller_id", "user_id",
     "employee_id", "customer_number", "account_id", "transaction_id", "invoice_id",
 )
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
-SPECIAL_FLOAT_PATTERN = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
+# numbers stand between Unicode white space; digits may be grouped by single underscores
+NUMBER_PATTERN = (r"(?U)^[\s\x1c-\x1f]*[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)"
+                  r"([eE][+-]?[0-9]+(_[0-9]+)*)?[\s\x1c-\x1f]*$")
+INTEGER_PATTERN = r"(?U)^[\s\x1c-\x1f]*[+-]?[0-9]+(_[0-9]+)*[\s\x1c-\x1f]*$"
+SPECIAL_FLOAT_PATTERN = r"(?iU)^[\s\x1c-\x1f]*[+-]?(nan|inf|infinity)[\s\x1c-\x1f]*$"
 # date-time patterns, each with the shape of text it can match
 DATETIME_FORMATS = (
     ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
@@ -99,10 +101,10 @@ def numeric_sql(c: str, dtype: T.DataType) -> str:
         finite = f"{c} between -1.7976931348623157E308D and 1.7976931348623157E308D"
         return f"case when {finite} then cast({c} as double) end"
     if isinstance(dtype, T.StringType):
-        # numbers start with white space, a sign, a dot or a digit: all at most ASCII 57,
-        # so ordinary words never reach the pattern
-        d = f"try_cast({c} as double)"
-        return (f"case when ascii({c}) <= 57 and rlike({c}, {literal(NUMBER_PATTERN)}) "
+        # what is no number fails at its first visible character; what is one is short, and the
+        # cast itself knows neither the white space of other scripts nor underscores
+        d = f"try_cast(regexp_replace({c}, {literal('(?U)[_' + chr(92) + 's' + chr(92) + 'x1c-' + chr(92) + 'x1f]')}, '') as double)"
+        return (f"case when rlike({c}, {literal(NUMBER_PATTERN)}) "
                 f"then case when abs({d}) < double('Infinity') then {d} end end")
     return "cast(null as double)"
 
@@ -143,8 +145,8 @@ def parse_datetime_sql(c: str) -> str:
 
 
 def datetime_sql(c: str) -> str:
-    # most text is no date at all and is settled by its first characters
-    return f"(rlike({c}, {literal(r'^[^0-9]{0,40}[0-9]{1,4}[-/]')}) and {parse_datetime_sql(c)} is not null)"
+    # most text is no date at all and is settled by its first visible characters
+    return f"(rlike({c}, {literal('(?U)^' + _SPACE + '*[0-9]{1,4}[-/]')}) and {parse_datetime_sql(c)} is not null)"
 
 
 def logical_type_of(dtype: T.DataType) -> str | None:

@@ -16,8 +16,6 @@ FINDING_SCHEMA = (
     "actual_type STRING, evidence STRING")
 STAGES = {"missing": 1, "duplicates": 2, "removed": 3, "added": 4, "retyped": 5,
           "outliers": 6, "forest": 7, "drift": 8}
-# fixed value: how many alerts are kept
-ALERT_LIMIT = 100
 
 
 def as_findings(df: DataFrame, *, stage, ordinal: Column, finding_type: Column, column: Column,
@@ -127,16 +125,16 @@ def inspection_summary(findings: DataFrame) -> DataFrame:
                                    "finding_count", "status")).alias("summary"))
 
 
-def alerts(findings: DataFrame, dataset: str, limit: int = ALERT_LIMIT,
+def alerts(findings: DataFrame, dataset: str, limit: int | None = None,
            unread_only: bool = False) -> DataFrame:
-    """Newest first: later findings were raised later.  The list itself is bounded
-    to its last ``limit`` entries; that is the feature."""
+    """Newest first: later findings were raised later.  ``limit`` is a page size, none by default."""
     out = (findings.where(F.col("severity").isin("CRITICAL", "HIGH"))
            .withColumn("is_read", F.lit(False)))
     if unread_only:
         out = out.where(~F.col("is_read"))
     newest = [F.desc("stage"), F.desc("ordinal"), F.desc_nulls_last("column_name")]
-    return (out.orderBy(*newest).limit(limit)
+    out = out.orderBy(*newest)
+    return ((out if limit is None else out.limit(limit))
             .select("severity", F.lit(dataset).alias("dataset"), "finding_type",
                     F.format_string("[%s] %s in %s", "severity", "finding_type", F.lit(dataset))
                     .alias("title"), "message", "is_read"))

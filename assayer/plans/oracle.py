@@ -211,8 +211,7 @@ def sample_summary(table: str, columns, path: str) -> str:
 
 ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
 SQL["baseline_upsert"] = f"""
-WITH late AS (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 500),
-ev AS (SELECT * FROM events ORDER BY event_id LIMIT 500)
+WITH late AS (SELECT * REPLACE (o_totalprice * 2.0 AS o_totalprice) FROM orders), ev AS (SELECT * FROM events)
 {sample_summary('late', ORDER_NUMBERS, ", 'orders' AS dataset_path")} UNION ALL
 {sample_summary('ev', ('value',), ", 'events' AS dataset_path")}"""
 SQL["register_dataset"] = f"""WITH {FO}, m AS (SELECT sum(missing_count) AS g, max(total_rows) AS n
@@ -247,7 +246,7 @@ FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'pending' ELSE strfti
 
 TEXT_ORDERS = """tx AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS custkey,
     CAST(o_totalprice AS VARCHAR) AS totalprice, strftime(o_orderdate, '%Y-%m-%d') AS orderdate,
-    strftime(o_orderdate, '%-d/%-m/%Y') AS day,
+    repeat(' ', 45) || strftime(o_orderdate, '%-d/%-m/%Y') AS day,
     CASE WHEN o_orderkey % 2 = 0 THEN ' Yes' ELSE 'no' END AS flag,
     CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS priority,
     CASE WHEN o_orderkey < 0 THEN 'x' END AS nothing FROM orders)"""
@@ -320,10 +319,11 @@ UNION ALL SELECT 'o_channel', 'string' WHERE (SELECT count(*) FROM orders) > 0""
 SQL["complete_rows"] = rf"""WITH {FO} SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM fo
 WHERE {' AND '.join('NOT ' + miss(c) for c in ORDER_COLUMNS)}"""
 SQL["numeric_projection"] = f"""
-WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' ' || p_size WHEN 1 THEN p_size || 'd'
-  WHEN 2 THEN 'nan' ELSE '1.5e2' END AS size_text FROM part)
-SELECT p_partkey, size_text, CASE WHEN regexp_full_match(size_text, {_NUMBER}) THEN CAST(trim(size_text) AS DOUBLE) END
-  AS value FROM t"""
+WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 8 = 4 THEN chr(160) || p_size WHEN p_partkey % 8 = 5 THEN p_size || '_000 '
+  WHEN p_partkey % 8 = 6 THEN p_size || '__0' ELSE CASE p_partkey % 4 WHEN 0 THEN ' ' || p_size WHEN 1 THEN p_size || 'd'
+  WHEN 2 THEN 'nan' ELSE '1.5e2' END END AS size_text FROM part),
+u AS (SELECT *, regexp_replace(replace(size_text, chr(160), ' '), '([0-9])_([0-9])', '\\1\\2', 'g') AS x FROM t)
+SELECT p_partkey, size_text, CASE WHEN regexp_full_match(x, {_NUMBER}) THEN CAST(trim(x) AS DOUBLE) END AS value FROM u"""
 SQL["findings_by_severity"] = f"""{FINDINGS} SELECT finding_type, column_name, severity, message FROM findings
 WHERE severity = 'HIGH'"""
 SQL["findings_by_topic"] = f"""{FINDINGS} SELECT finding_type, column_name, topic FROM findings, (VALUES
@@ -403,9 +403,9 @@ q AS (SELECT sum(missing_count) AS g, max(total_rows) AS n,
       count(*) FILTER (WHERE missing_count = total_rows) AS e FROM m)
 SELECT {dataset_profile('fo', ORDER_COLUMNS, ORDER_NUMBERS)}, CAST(g AS BIGINT) AS missing_cells,
   e AS empty_column_count, {score(6)} AS quality_score, g = 0 AND dup = 0 AND e = 0 AS is_valid FROM q, d"""
-SQL["baseline_summary"] = f"""WITH s AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)
+SQL["baseline_summary"] = f"""WITH s AS (SELECT * FROM orders)
 {sample_summary('s', ORDER_NUMBERS, '')}"""
-SQL["baseline_sample"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500"
+SQL["baseline_sample"] = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
 
 # --- outliers --------------------------------------------------------------------------------------
 

@@ -46,7 +46,7 @@ def io_csv_roundtrip(spark, sf):
     path = _scratch(spark, "csv")
     (table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
      .write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path))
-    return readers.read_dataset(spark, path, "csv")
+    return readers.read_dataset(spark, path, "csv", multiline=True)
 
 
 @query
@@ -105,14 +105,13 @@ def proofs_linked(spark, sf):
 
 @query
 def baseline_upsert(spark, sf):
-    """Stored summaries of two data sets, one of them replaced by a later sample."""
+    """Stored summaries of two data sets, one of them replaced by that of later rows."""
     def summary(df, path):
         return profile.numeric_summary(df, schema.infer_schema(df)).withColumn("dataset_path", F.lit(path))
 
     orders, events = table(spark, sf, "orders"), table(spark, sf, "events")
-    stored = summary(stores.baseline_sample(orders, ["o_orderkey"]), "orders").unionByName(
-        summary(stores.baseline_sample(events, ["event_id"]), "events"))
-    later = summary(orders.orderBy(F.desc("o_orderkey")).limit(stores.BASELINE_ROWS), "orders")
+    stored = summary(orders, "orders").unionByName(summary(events, "events"))
+    later = summary(orders.withColumn("o_totalprice", F.col("o_totalprice") * 2.0), "orders")
     return stores.upsert(stored, later)
 
 
@@ -157,7 +156,7 @@ def text_orders(spark, sf):
         F.col("o_custkey").cast("string").alias("custkey"),
         F.col("o_totalprice").cast("string").alias("totalprice"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("orderdate"),
-        F.date_format("o_orderdate", "d/M/yyyy").alias("day"),
+        F.concat(F.repeat(F.lit(" "), F.lit(45)), F.date_format("o_orderdate", "d/M/yyyy")).alias("day"),
         F.when(F.col("o_orderkey") % 2 == 0, " Yes").otherwise("no").alias("flag"),
         F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("o_orderpriority")).alias("priority"),
         F.when(F.col("o_orderkey") < 0, "x").alias("nothing"))
@@ -238,7 +237,10 @@ def complete_rows(spark, sf):
 @query
 def numeric_projection(spark, sf):
     t = table(spark, sf, "part").select(
-        "p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string")))
+        "p_partkey", F.when(F.col("p_partkey") % 8 == 4, F.concat(F.lit("\u00a0"), F.col("p_size").cast("string")))
+        .when(F.col("p_partkey") % 8 == 5, F.concat(F.col("p_size").cast("string"), F.lit("_000 ")))
+        .when(F.col("p_partkey") % 8 == 6, F.concat(F.col("p_size").cast("string"), F.lit("__0")))
+        .when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string")))
         .when(F.col("p_partkey") % 4 == 1, F.concat(F.col("p_size").cast("string"), F.lit("d")))
         .when(F.col("p_partkey") % 4 == 2, "nan").otherwise("1.5e2").alias("size_text"))
     return t.select("p_partkey", "size_text", X.numeric(t, "size_text").alias("value"))
@@ -330,14 +332,16 @@ def analyze_dataset(spark, sf):
 
 @query
 def baseline_summary(spark, sf):
-    o = table(spark, sf, "orders")
-    return profile.numeric_summary(stores.baseline_sample(o, ["o_orderkey"]), schema.infer_schema(o))
+    store = stores.Store(spark, _scratch(spark, "store"))
+    store.set_baseline("orders", table(spark, sf, "orders"))
+    return store.read("baseline_summary", "orders").drop("dataset_path")
 
 
 @query
 def baseline_sample(spark, sf):
-    return stores.baseline_sample(table(spark, sf, "orders"), ["o_orderkey"]).select(
-        "o_orderkey", "o_custkey", "o_totalprice")
+    store = stores.Store(spark, _scratch(spark, "store"))
+    store.set_baseline("orders", table(spark, sf, "orders"))
+    return store.get_baseline("orders")[1].select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 # --- outliers -----------------------------------------------------------------------

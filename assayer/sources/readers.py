@@ -17,16 +17,24 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Dispatch by extension (or the given format)."""
-    readers = {"csv": read_csv, "json": read_json, "parquet": lambda s, p: s.read.parquet(p)}
+def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, *, multiline: bool | None = None) -> DataFrame:
+    """Dispatch by extension (or the given format).
+
+    ``multiline`` has no default for text formats, since either choice can be wrong: true
+    reads records with line breaks, and JSON documents, as one split a file; false splits
+    large files and takes every line for a record.
+    """
+    readers = {"csv": lambda s, p: read_csv(s, p, multiline), "json": lambda s, p: read_json(s, p, lines=not multiline),
+               "parquet": lambda s, p: s.read.parquet(p)}
     fmt = fmt or format_of(path)
     if fmt not in readers:
         raise ValueError(f"unsupported dataset format: {fmt}; known: {sorted(readers)}")
+    if multiline is None and fmt != "parquet":
+        raise ValueError(f"say whether records of this {fmt} may span lines (multiline)")
     return readers[fmt](spark, path)
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     """Header required, every value a string, empty quoted cells stay empty text.
 
     ``multiline`` allows line breaks inside quotes but makes each file one split;
@@ -37,8 +45,8 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFram
             .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              lines: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, *,
+              lines: bool) -> DataFrame:
     """A top-level array of objects, or an object that wraps it as ``data``.
 
     Such a document is one split; ``lines`` reads one object per line instead,
@@ -66,19 +74,15 @@ def first_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
-SPREAD_BYTES = 4 << 20
+#: Session setting: parts over which scans are dealt out; unset or 0 leaves them as they are.
+SCAN_PARTS = "spark.assayer.scanParts"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A plain scan with fewer splits than cores, dealt out over all cores.
+    """Deal the rows of a scan out over as many parts as the session asks for.
 
-    Auditing passes over the rows several times; a file that is one split would
-    keep one core busy in each pass.  Tables with enough splits (any large one)
-    and tables of a few megabytes are returned as they are.
+    Auditing passes over the rows several times; a file that is one split keeps one core
+    busy in each pass.  Off unless set: large tables have splits enough.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    parts = int(df.sparkSession.conf.get(SCAN_PARTS, "0"))
+    return df.repartition(parts) if parts else df

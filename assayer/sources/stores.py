@@ -17,8 +17,6 @@ from assayer.functions.expr import ident
 from assayer.operators.quality import quality_score
 from assayer.session import written
 
-BASELINE_ROWS = 500  # fixed value: size of the reference sample
-
 
 # --- fingerprint ---------------------------------------------------------------
 
@@ -26,13 +24,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     """Digest of a table's content, independent of row order and file layout.
 
     Row digests are cut into four 60-bit slices and summed, so the combination is
-    a plain aggregate and copies count.
+    a plain aggregate and copies count.  Slices have 19 digits and sums 38: room for
+    10^19 rows.
     """
     cols = [f"unix_micros(cast({ident(f.name)} as timestamp)) as {ident(f.name)}"
             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else ident(f.name) for f in df.schema.fields]
     digest = df.selectExpr(*cols).select(
         F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256).alias("h"))
-    slices = [F.expr(f"coalesce(sum(cast(conv(substr(h, {1 + 15 * i}, 15), 16, 10) as decimal(20, 0))), 0)"
+    slices = [F.expr(f"coalesce(sum(cast(conv(substr(h, {1 + 15 * i}, 15), 16, 10) as decimal(28, 0))), 0)"
                      f" as s{i}") for i in range(4)]
     text = F.concat_ws(":", F.col("row_count").cast("string"),
                        *[F.col(f"s{i}").cast("string") for i in range(4)])
@@ -52,11 +51,6 @@ def ensure(stored: DataFrame, incoming: DataFrame, key: str = "dataset_path") ->
     return stored.unionByName(incoming.join(stored.select(key).distinct(), key, "left_anti"))
 
 
-def baseline_sample(df: DataFrame, keys: list[str], rows: int = BASELINE_ROWS) -> DataFrame:
-    """The reference sample: the first rows in key order.  Bounded by meaning."""
-    return df.orderBy(*keys).limit(rows)
-
-
 # --- tables on disk ----------------------------------------------------------------
 
 class Store:
@@ -87,30 +81,32 @@ class Store:
          .option("partitionOverwriteMode", "dynamic").partitionBy("dataset_path")
          .parquet(self.path(name)))
 
-    # baselines: schema, sample and numeric summary of a data set
+    # baselines: schema, reference rows and numeric summary of a data set
 
-    def set_baseline(self, dataset_path: str, df: DataFrame, keys: list[str]) -> None:
+    def set_baseline(self, dataset_path: str, df: DataFrame) -> None:
+        """The whole table is the reference: any part of it taken by key would drift for ever
+        in every column that follows the key."""
         from assayer.operators.profile import numeric_summary
         from assayer.operators.schema import infer_schema
-        sample = written(baseline_sample(df, keys), "sample")
-        schema = infer_schema(df)
+        rows = written(df, "reference")
+        schema = infer_schema(rows)
         self.replace("baseline_schema", schema, dataset_path)
-        self.replace(f"baseline_sample_{abs_hash(dataset_path)}", sample, dataset_path)
-        self.replace("baseline_summary", numeric_summary(sample, schema), dataset_path)
+        self.replace(f"baseline_rows_{abs_hash(dataset_path)}", rows, dataset_path)
+        self.replace("baseline_summary", numeric_summary(rows, schema), dataset_path)
 
     def get_baseline(self, dataset_path: str) -> tuple[DataFrame, DataFrame] | None:
-        """(expected schema, reference sample), or None."""
+        """(expected schema, reference rows), or None."""
         schema = self.read("baseline_schema", dataset_path)
         if schema is None or schema.isEmpty():
             return None
-        sample = self.read(f"baseline_sample_{abs_hash(dataset_path)}", dataset_path)
-        return schema.drop("dataset_path"), sample.drop("dataset_path")
+        rows = self.read(f"baseline_rows_{abs_hash(dataset_path)}", dataset_path)
+        return schema.drop("dataset_path"), rows.drop("dataset_path")
 
-    def ensure_baseline(self, dataset_path: str, df: DataFrame, keys: list[str]) -> bool:
+    def ensure_baseline(self, dataset_path: str, df: DataFrame) -> bool:
         """True when a new baseline was stored."""
         if self.get_baseline(dataset_path) is not None:
             return False
-        self.set_baseline(dataset_path, df, keys)
+        self.set_baseline(dataset_path, df)
         return True
 
     def save_inspection(self, dataset_path: str, inspection: DataFrame, findings: DataFrame,
@@ -123,9 +119,9 @@ class Store:
 
 
 def abs_hash(text: str) -> str:
-    """Folder-safe name of a dataset path (samples of different data sets differ in schema)."""
+    """Folder-safe name of a dataset path (rows of different data sets differ in schema)."""
     import hashlib
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()[:16]
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
 def link_proofs(proofs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -57,10 +57,11 @@ def test_empty_dataset(spark, small):
 
 def test_number_rules(spark):
     texts = ["1", " 1.5 ", "1e3", "-2", ".5", "5.", "1d", "1.5f", "1_000", "nan", "inf", "-Infinity",
-             "1e999", "", "abc", "\t7\n", None]
+             "1e999", "", "abc", "\t7\n", None, "\u00a05\u2003", "1__0", "_1", "1_", "1_0.2_5e1_0", "\u0663"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r.t: r.v for r in df.select("t", X.numeric(df, "t").alias("v")).collect()}
-    want = {"1": 1.0, " 1.5 ": 1.5, "1e3": 1000.0, "-2": -2.0, ".5": 0.5, "5.": 5.0, "\t7\n": 7.0}
+    want = {"1": 1.0, " 1.5 ": 1.5, "1e3": 1000.0, "-2": -2.0, ".5": 0.5, "5.": 5.0, "\t7\n": 7.0,
+            "1_000": 1000.0, "\u00a05\u2003": 5.0, "1_0.2_5e1_0": 10.25e10}
     assert {k: v for k, v in got.items() if v is not None} == want
 
 
@@ -215,6 +216,39 @@ def test_impute_rules(spark):
     assert quality.missing_values(filled.select("k", "s")).count() == 0
 
 
+def test_text_keys_and_columns_without_values(spark):
+    """Ties go to the text seen first in key order; a number column without a number stays null."""
+    rows = [("b2", "x", None), ("a1", "y", None), ("c3", None, None), ("c3", None, None)]
+    df = spark.createDataFrame(rows, "order_key string, note string, amount double")
+    actions = [{"action_type": "DEDUPLICATE_ROWS", "target": "ALL_ROWS"},
+               {"action_type": "IMPUTE_DEFAULT_VALUE", "target": "note"},
+               {"action_type": "IMPUTE_DEFAULT_VALUE", "target": "amount"}]
+    fixed, aside, log = recovery.run_actions(df, actions, ["order_key"])
+    assert sorted(map(tuple, fixed.collect())) == [("a1", "y", None), ("b2", "x", None), ("c3", "y", None)]
+    assert [tuple(r)[:3] for r in aside.collect()] == [("c3", None, None)]
+    assert [(r.rows_affected, r.after_count, r.execution_status) for r in log.orderBy("step").collect()] == [
+        (1, 3, "SUCCESS"), (1, 3, "SUCCESS"), (0, 3, "NO_VALUE_FOR_TYPE")]
+
+
+def test_recover_keeps_what_it_sets_aside(spark, tmp_path):
+    rows = [(f"ORD-{i}", f"C{i}", float(i % 7)) for i in range(40)] + [("ORD-1", "C1", 1.0), (None, "C50", 2.0)]
+    df = spark.createDataFrame(rows, "order_id string, customer string, amount double")
+    done = recover(df, keys=["order_id"], role="ADMIN", target=str(tmp_path))
+    gone = spark.read.parquet(str(tmp_path / "quarantine"))
+    assert {(r._action_type, r.customer) for r in gone.collect()} == {
+        ("DEDUPLICATE_ROWS", "C1"), ("QUARANTINE_NULL_RECORDS", "C50")}
+    assert spark.read.parquet(str(tmp_path / "repaired")).count() == 40 and done["log"].count() >= 2
+
+
+def test_outlier_steps_stay_linear(spark):
+    """The plan of a chain of outlier steps does not multiply."""
+    df = spark.range(2000).selectExpr("id", *[f"cast(if(id = {i}, 1e6, id % 50) as double) as v{i}" for i in range(4)])
+    acts = [{"action_type": "QUARANTINE_ML_OUTLIERS", "target": f"v{i}"} for i in range(4)]
+    sizes = [recovery.apply_actions(df, acts[:n], ["id"])._jdf.queryExecution().optimizedPlan().toString().count("\n")
+             for n in (1, 2, 4)]
+    assert sizes[2] <= sizes[0] + 4 and recovery.apply_actions(df, acts, ["id"]).count() == 1996
+
+
 def test_restore_and_accept(spark, small):
     assert dict(recovery.restore_column(small, "paid", "float").dtypes)["paid"] == "double"
     assert recovery.restore_column(small, "amount", "float").columns == small.columns
@@ -310,13 +344,15 @@ def test_numbering_is_stable_under_repartition(spark, small):
 def test_readers(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_bytes("﻿order_id,note,amount\r\n1,\"line one\nline \"\"two\"\"\",5\r\n2,\"\",\r\n".encode())
-    rows = readers.read_dataset(spark, str(p)).collect()
+    rows = readers.read_dataset(spark, str(p), multiline=True).collect()
     assert rows[0].order_id == "1" and rows[0].note == 'line one\nline "two"' and rows[1].note == ""
     for name, body in (("a.json", [{"x": 1}, {"x": 2}]), ("b.json", {"data": [{"x": 1}, {"x": 2}]})):
         (tmp_path / name).write_text(json.dumps(body, indent=1))
-        assert sorted(r.x for r in readers.read_dataset(spark, str(tmp_path / name)).collect()) == [1, 2]
+        assert sorted(r.x for r in readers.read_dataset(spark, str(tmp_path / name), multiline=True).collect()) == [1, 2]
     with pytest.raises(ValueError):
         readers.read_dataset(spark, "x.xls")
+    with pytest.raises(ValueError):
+        readers.read_dataset(spark, str(p))
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b string").toDF(" a ", " ")
     clean = readers.drop_blank_rows(readers.normalised_headers(df))
     assert clean.columns == ["a", "column_2"] and clean.count() == 1
@@ -331,10 +367,10 @@ def test_fingerprint_ignores_order_and_counts_copies(spark, small):
 def test_store(spark, tmp_path, small):
     store = stores.Store(spark, str(tmp_path))
     assert store.get_baseline("a") is None
-    assert store.ensure_baseline("a", small, ["order_id"]) is True
-    assert store.ensure_baseline("a", small.limit(1), ["order_id"]) is False
-    store.set_baseline("b", small.select("order_id"), ["order_id"])
-    store.set_baseline("a", small.limit(2).select("order_id", "amount"), ["order_id"])
+    assert store.ensure_baseline("a", small) is True
+    assert store.ensure_baseline("a", small.limit(1)) is False
+    store.set_baseline("b", small.select("order_id"))
+    store.set_baseline("a", small.limit(2).select("order_id", "amount"))
     s, sample = store.get_baseline("a")
     assert {r.column for r in s.collect()} == {"order_id", "amount"} and sample.count() == 2
     assert {r.column for r in store.get_baseline("b")[0].collect()} == {"order_id"}
