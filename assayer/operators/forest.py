@@ -31,8 +31,8 @@ EULER = 0.5772156649015329
 CRITICAL_PCT, HIGH_PCT = 15.0, 5.0
 HISTOGRAM_BINS = 15
 
-_POOL = 40          # pool size in samples
-_MARGIN = 1.5       # expected rows per tree before the cut to SAMPLE
+_POOL = 1.3         # rows drawn, in samples of all trees together
+_MARGIN = 1.25      # expected rows per tree before the cut to SAMPLE
 _GRAIN = 1 << 30
 
 
@@ -148,34 +148,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, levels: int):
 
 def _samples(df: DataFrame, features: Sequence[str], medians: Sequence[float], rows: int,
              keys: Sequence[str], unique_keys: bool, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, h, w, features...): about 1.5 samples of rows per tree.
+    """(tree, h, w, features...): a little more than a sample of rows per tree.
 
-    Copies share one hash, so without a unique key equal feature vectors are
-    counted first and drawn by weight; otherwise a value that fills a third of
-    the table would be drawn as a whole or not at all.
+    The pool is a filter on the hash of key and features, so the table is not
+    shuffled; only what it leaves is grouped.  A drawn row goes to as many trees as it takes to fill them:
+    about one in a large table, so that trees share few rows, and most of them in a small one.
+    Rows equal in key and features are drawn together; with ``unique_keys`` there are none.
     """
-    pool = min(1.0, _POOL * sample / rows)
-    share = min(1.0, _MARGIN * sample / (rows * pool))
+    pool = min(1.0, _POOL * trees * sample / rows)
+    each = min(float(trees), _MARGIN * trees * sample / (rows * pool))
     full = [F.coalesce(numeric(df, c), F.lit(m)).alias(f"f{i}")
             for i, (c, m) in enumerate(zip(features, medians))]
     names = [f"f{i}" for i in range(len(features))]
+    base = df.select(F.xxhash64(*[F.col(ident(k)) for k in keys], *full, F.lit(seed)).alias("h"), *full)
+    drawn = base.where(F.pmod("h", F.lit(_GRAIN)) < int(pool * _GRAIN))
     if unique_keys:
-        # the pool is a plain filter on the key: no shuffle of the table
-        key = F.xxhash64(*[F.col(ident(k)) for k in keys], F.lit(seed))
-        drawn = (df.select(key.alias("h"), *full).where(F.pmod("h", F.lit(_GRAIN)) < int(pool * _GRAIN))
-                 .withColumn("copies", F.lit(1)))
+        drawn = drawn.withColumn("w", F.lit(1))
     else:
-        grouped = df.select(*full).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-        draw = F.col("n") * pool
-        unit = F.pmod("h", F.lit(_GRAIN)) / _GRAIN
-        drawn = (grouped.withColumn("h", F.xxhash64(*names, F.lit(seed)))
-                 .withColumn("copies", F.floor(draw) + F.when(unit < draw - F.floor(draw), 1).otherwise(0))
-                 .where("copies > 0"))
-    picks = f"""filter(transform(sequence(0, {trees - 1}), t -> named_struct('tree', t,
-                 'w', int(floor(copies * {share}D)
-                      + if(pmod(xxhash64(h, t), {_GRAIN}) / {_GRAIN}D
-                           < copies * {share}D - floor(copies * {share}D), 1, 0)))), s -> s.w > 0)"""
-    return drawn.select("h", *names, F.expr(f"inline({picks})"))
+        drawn = drawn.groupBy("h", *names).agg(F.count(F.lit(1)).cast("int").alias("w"))
+    extra = f"if(pmod(xxhash64(h, 1), {_GRAIN}) / {_GRAIN}D < {each - math.floor(each)}D, 1, 0)"
+    runs = f"""transform(sequence(1, {math.floor(each)} + {extra}),
+                         j -> int(pmod(pmod(xxhash64(h, 2), {trees}) + j, {trees})))"""
+    return drawn.select("h", "w", *names, F.expr(
+        f"explode(if({math.floor(each)} + {extra} > 0, {runs}, cast(array() as array<int>)))").alias("tree"))
 
 
 def fit_forest(df: DataFrame, keys: Sequence[str], features: Sequence[str] | None = None,

@@ -271,7 +271,8 @@ def restore_column(df: DataFrame, column: str, logical_type: str = "string") ->
     return df.withColumn(column, F.lit(None).cast(SQL_TYPES.get(logical_type, "string")))
 
 
-def split_action(df: DataFrame, action: dict, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+def split_action(df: DataFrame, action: dict, keys: Sequence[str], forest_model=None
+                 ) -> tuple[DataFrame, DataFrame | None]:
     """(table after the action, rows it set aside or None)."""
     kind, target = action["action_type"], action.get("target")
     if kind == "DEDUPLICATE_ROWS":
@@ -286,7 +287,7 @@ def split_action(df: DataFrame, action: dict, keys: Sequence[str]) -> tuple[Data
     if kind == "QUARANTINE_ML_OUTLIERS":
         if target == "MULTIVARIATE":
             from assayer.operators.forest import forest_rows
-            return quarantine_rows(df, written(forest_rows(df, keys).select("_rid"), "flagged"), keys)
+            return quarantine_rows(df, written(forest_rows(df, keys, model=forest_model).select("_rid"), "flagged"), keys)
         return quarantine_outliers(df, target, keys)
     if kind == "RESTORE_SCHEMA_COLUMN":
         return restore_column(df, target, action.get("column_type") or "string"), None
@@ -301,7 +302,7 @@ def apply_action(df: DataFrame, action: dict, keys: Sequence[str]) -> DataFrame:
 _MEASURING = ("DEDUPLICATE_ROWS", "QUARANTINE_ML_OUTLIERS", "IMPUTE_DEFAULT_VALUE")
 
 
-def run_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]
+def run_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str], forest_model=None
                 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(repaired table, rows set aside, log): each action on the result of the one before.
 
@@ -316,7 +317,7 @@ def run_actions(df: DataFrame, actions: Sequence[dict], keys: Sequence[str]
         kind, target = action["action_type"], action.get("target")
         if kind in _MEASURING and step > 1 and not stored:
             current, stored = written(current, "step"), True
-        after, gone = split_action(current, action, keys)
+        after, gone = split_action(current, action, keys, forest_model)
         if n is None:
             n = current.count()
         affected, status, left = 0, "SUCCESS", n

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayer.functions.expr import recovery_identifier
 from assayer.operators.drift import drift_findings
 from assayer.operators.findings import union_findings
-from assayer.operators.forest import forest_findings
+from assayer.operators.forest import ForestModel, forest_findings
 from assayer.operators.outliers import outlier_findings
 from assayer.operators.quality import duplicate_findings, empty_findings, missing_findings
 from assayer.operators.recovery import (gate_actions, impute_values, propose_actions, run_actions,
@@ -22,16 +22,16 @@ from assayer.session import written
 
 def audit(df: DataFrame, *, order_key: str, expected: DataFrame | None = None,
           reference: DataFrame | None = None, forest_keys: Sequence[str] | None = None,
-          unique_keys: bool = False, drift_rule: str = "none",
+          unique_keys: bool = False, forest_model: ForestModel | None = None, drift_rule: str = "none",
           extra_identifiers: Iterable[str] = ()) -> DataFrame:
-    """All findings of a table, one frame.  Lazy, except for fitting the forest
-    when ``forest_keys`` asks for it."""
+    """All findings of a table, one frame.  Lazy, except for the forest, which
+    ``forest_keys`` asks for: it is fitted (unless given as ``forest_model``) and scores every row."""
     parts = [empty_findings(df), missing_findings(df, order_key), duplicate_findings(df)]
     if expected is not None:
         parts.append(schema_findings(expected, infer_schema(df)))
     parts.append(outlier_findings(df, extra_identifiers))
     if forest_keys:
-        parts.append(forest_findings(df, forest_keys, unique_keys=unique_keys,
+        parts.append(forest_findings(df, forest_keys, model=forest_model, unique_keys=unique_keys,
                                      extra_identifiers=extra_identifiers))
     if reference is not None:
         parts.append(drift_findings(df, reference, drift_rule, extra_identifiers))
@@ -63,7 +63,7 @@ def recover(df: DataFrame, *, keys: Sequence[str], role: str = "ADMIN",
     before = written(audit(df, **check), "findings")
     plan = written(gate_actions(plan_recovery(df, before, order_key), role), "plan")
     rows = [r.asDict() for r in plan.where(F.col("execution_status") == "AUTHORIZED").orderBy("position").collect()]
-    repaired, aside, log = run_actions(df, rows, keys)
+    repaired, aside, log = run_actions(df, rows, keys, options.get("forest_model"))
     if target:
         repaired.write.parquet(os.path.join(target, "repaired"))
         repaired = df.sparkSession.read.parquet(os.path.join(target, "repaired"))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.faults import (inject_duplicates, inject_missing, inject_outliers,
                                       inject_schema_drift)
+from assayer.operators.forest import ForestModel
 from assayer.operators.runs import fold_runs
 from assayer.operators.schema import infer_schema
 from assayer.plans.audit import audit
@@ -57,10 +59,26 @@ def scaled_events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             e.where(F.col("ts") < split))
 
 
+def fixed_forest(trees: int = 5) -> ForestModel:
+    """A small forest given as numbers, the same at every scale, so that SQL can score it too.
+
+    Tree t parts quantities of 100 (t + 1) and more at its root, which isolates them, and the
+    rest by price, discount or tax in turn.
+    """
+    t = np.arange(trees)
+    limit = np.stack([50_000.0 + 10_000 * t, 0.01 * (t + 3), 0.01 * (t + 2)], axis=1)[t, t % 3]
+    return ForestModel(
+        ("l_quantity", "l_extendedprice", "l_discount", "l_tax"), (0.0,) * 4, 0,
+        split=np.stack([0 * t, 1 + t % 3, 0 * t], axis=1),
+        at=np.stack([100.0 * (t + 1), limit, np.full(trees, np.inf)], axis=1),
+        length=np.tile([1.0, 1.1, 0.1, 0.1], (trees, 1)), levels=2)
+
+
 def line_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stage of an audit."""
     clean = table(spark, sf, "lineitem")
-    return audit(faulted_lineitem(spark, sf), order_key="l_orderkey",
-                 expected=infer_schema(clean), reference=clean)
+    return audit(faulted_lineitem(spark, sf), order_key="l_orderkey", expected=infer_schema(clean), reference=clean,
+                 forest_keys=LINE_KEYS, forest_model=fixed_forest())
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from assayer.plans.cases import LINE_KEYS, fixed_forest
+
 SQL: dict[str, str] = {}
 
 LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -144,7 +146,34 @@ LINE_AT = at(LINE_NUMBERS, LINE_COLUMNS)
 LINE_MEASURES = f"WITH {FL}, {measures('o', 'fl', LINE_AT)}"
 LINE_KS = ks("k", long_form("fl", LINE_AT), long_form("lineitem", LINE_AT))
 
-FINDINGS = f"""WITH {FL}, {measures('o', 'fl', LINE_AT)}, {LINE_KS},
+
+
+def forest_sql(model, table: str, keys) -> str:
+    """CTEs fsc (rid, score of each row), fth (threshold and moments) and ff (flagged rows) of a given forest."""
+    def walk(t: int, node: int) -> str:
+        inner = model.split.shape[1]
+        if node >= inner:
+            return repr(float(model.length[t][node - inner]))
+        low, at = walk(t, 2 * node + 1), float(model.at[t][node])
+        if at == float("inf"):
+            return low
+        return (f"CASE WHEN {model.features[model.split[t][node]]} >= {at!r} THEN {walk(t, 2 * node + 2)} "
+                f"ELSE {low} END")
+
+    trees = len(model.split)
+    total = " + ".join(walk(t, 0) for t in range(trees))
+    return f"""fsc AS (SELECT *, concat_ws('|', {', '.join(keys)}) AS rid,
+  0.5 - pow(2.0, -(CAST({total} AS DOUBLE)) / {trees}) AS score FROM {table}),
+fth AS (SELECT count(*) AS n, avg(score) AS mean, min(score) AS low, least(-0.15, avg(score) - 3.5 * stddev_pop(score)) AS th
+        FROM fsc),
+ff AS (SELECT fsc.* FROM fsc, fth WHERE score < -0.15 AND score < th)"""
+
+
+FOREST = fixed_forest()
+LINE_FOREST = forest_sql(FOREST, "fl", LINE_KEYS)
+FINDINGS = f"""WITH {FL}, {measures('o', 'fl', LINE_AT)}, {LINE_KS}, {LINE_FOREST},
+fs AS (SELECT count(*) AS k, round(count(*) / any_value(n) * 100, 2) AS pct, any_value(n) AS n, any_value(th) AS th,
+  any_value(low) AS low, any_value(mean) AS mean, list(rid ORDER BY rid)[1:10] AS ids FROM ff, fth HAVING count(*) > 0),
 mv AS ({missing_values('fl', LINE_COLUMNS, 'l_orderkey')}),
 dr AS ({duplicates('fl', ', '.join(LINE_COLUMNS))}),
 findings AS (
@@ -170,6 +199,14 @@ SELECT 6, ordinal + 1, 'NUMERICAL_OUTLIERS', "column", severity, message, iqr_co
             'mean', round(mean, 4), 'std', round(std, 4), 'skewness', round(skewness, 4),
             'max_z_score', round(max_z, 2)) AS VARCHAR)
 FROM o_f UNION ALL
+SELECT 7, 1, 'ML_ISOLATION_FOREST_ANOMALY', NULL, CASE WHEN pct > 15 THEN 'CRITICAL' WHEN pct > 5 THEN 'HIGH' ELSE 'MEDIUM' END,
+       'Isolation Forest identified ' || k || ' multivariate anomalous record(s) (' || CAST(pct AS VARCHAR) ||
+       '% of total) separated beyond threshold ' || printf('%.3f', th) || ' across features: {", ".join(FOREST.features)}.',
+       k, pct, NULL, NULL,
+       CAST(json_object('features_analyzed', '{", ".join(FOREST.features)}', 'separation_threshold', round(th, 4),
+            'anomalous_row_count', k, 'total_rows', n, 'anomalous_percentage', pct, 'sample_anomalous_rows', ids,
+            'min_decision_score', round(low, 4), 'mean_decision_score', round(mean, 4)) AS VARCHAR)
+FROM fs UNION ALL
 SELECT 8, ordinal + 1, 'DISTRIBUTION_DRIFT', "column", severity, message, NULL, NULL, NULL, NULL,
        CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', printf('%.6f', p),
             'alpha_threshold', CAST(0.05 AS DOUBLE), 'd_threshold', CAST(0.1 AS DOUBLE),
@@ -457,6 +494,10 @@ s AS (SELECT "column", ordinal, count(*) AS n, stddev_pop(value) AS std FROM v G
 SELECT "column", ordinal, n AS numeric_count, total_rows, round(std, 4) AS std,
   n >= 0.7 * total_rows AND n >= 5 AND std > 1e-8 AS is_feature FROM s, t UNION ALL
 SELECT c, o, CAST(0 AS BIGINT), total_rows, NULL, FALSE FROM t, (VALUES ('l_returnflag', 8), ('l_linestatus', 9)) AS x(c, o)"""
+SQL["forest_scores_fixed"] = f"""WITH {FL}, {LINE_FOREST} SELECT rid AS _rid, round(score, 6) AS score FROM fsc"""
+SQL["forest_rows_fixed"] = f"""WITH {FL}, {LINE_FOREST} SELECT rid AS _rid, round(score, 4) AS score FROM ff"""
+SQL["remediate_forest"] = f"""WITH {FL}, {LINE_FOREST} SELECT {', '.join(LINE_KEYS)}, l_quantity,
+  CASE WHEN rid IN (SELECT rid FROM ff) THEN 'quarantined' ELSE 'kept' END AS side FROM fsc"""
 SQL["iforest_matrix"] = f"""WITH {FO}, m AS (SELECT quantile_cont(CAST(o_custkey AS DOUBLE), 0.5) AS a,
   quantile_cont(o_totalprice, 0.5) AS b FROM fo)
 SELECT CAST(o_orderkey AS VARCHAR) AS _rid, coalesce(CAST(o_custkey AS DOUBLE), a) AS o_custkey,
@@ -689,13 +730,14 @@ SELECT 'REC-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS rec_id,
   CASE finding_type WHEN 'MISSING_VALUES' THEN 'DATA_QUALITY' WHEN 'DUPLICATE_RECORDS' THEN 'DATA_INTEGRITY'
     WHEN 'COLUMN_REMOVED' THEN 'SCHEMA_EVOLUTION' ELSE 'ML_ANOMALY' END AS category,
   CASE WHEN finding_type IN ('DUPLICATE_RECORDS', 'COLUMN_REMOVED') THEN 'P0_CRITICAL'
-    WHEN finding_type = 'NUMERICAL_OUTLIERS' THEN 'P1_HIGH' WHEN severity = 'CRITICAL' THEN 'P0_CRITICAL'
+    WHEN finding_type IN ('NUMERICAL_OUTLIERS', 'ML_ISOLATION_FOREST_ANOMALY') THEN 'P1_HIGH' WHEN severity = 'CRITICAL' THEN 'P0_CRITICAL'
     WHEN severity = 'HIGH' THEN 'P1_HIGH' ELSE 'P2_MEDIUM' END AS priority,
   CASE finding_type WHEN 'MISSING_VALUES' THEN 'Handle Missing Values in Column ''' || column_name || ''''
     WHEN 'DUPLICATE_RECORDS' THEN 'Deduplicate Dataset and Enforce Unique Constraints'
     WHEN 'COLUMN_REMOVED' THEN 'Restore or Backfill Missing Column ''' || column_name || ''''
-    ELSE 'Quarantine Statistical Outliers & Calibrate Bounds for ''' || column_name || '''' END AS title,
-  finding_type AS finding_ref, coalesce(column_name, 'ALL_COLUMNS') AS target_column,
+    ELSE 'Quarantine Statistical Outliers & Calibrate Bounds for ''' || coalesce(column_name, 'target_column') || '''' END AS title,
+  finding_type AS finding_ref, coalesce(column_name, CASE finding_type WHEN 'DUPLICATE_RECORDS' THEN 'ALL_COLUMNS'
+    ELSE 'target_column' END) AS target_column,
   CASE finding_type WHEN 'MISSING_VALUES' THEN 'Detected ' || affected_count || ' null/missing values (' ||
       CAST(affected_pct AS VARCHAR) || '%). Unhandled nulls propagate downstream into broken aggregations and analytics.'
     WHEN 'DUPLICATE_RECORDS' THEN 'Found ' || affected_count || ' duplicate row(s) (' || CAST(affected_pct AS VARCHAR) ||
@@ -727,7 +769,7 @@ SELECT 'REC-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS rec_id,
 FROM kn"""
 SQL["alerts"] = f"""{FINDINGS} SELECT severity, 'lineitem' AS dataset, finding_type,
   '[' || severity || '] ' || finding_type || ' in lineitem' AS title, message, FALSE AS is_read FROM findings
-WHERE severity IN ('CRITICAL', 'HIGH') ORDER BY stage DESC, ordinal DESC LIMIT 100"""
+WHERE severity IN ('CRITICAL', 'HIGH') ORDER BY stage DESC, ordinal DESC"""
 
 # --- repairs ------------------------------------------------------------------------------------------------------------
 
@@ -737,14 +779,14 @@ ac AS (SELECT *, CASE finding_type WHEN 'DUPLICATE_RECORDS' THEN 'DEDUPLICATE_RO
     WHEN 'MISSING_VALUES' THEN CASE WHEN contains(column_name, 'id') OR contains(column_name, 'key')
       THEN 'QUARANTINE_NULL_RECORDS' ELSE 'IMPUTE_DEFAULT_VALUE' END
     WHEN 'COLUMN_REMOVED' THEN 'RESTORE_SCHEMA_COLUMN' ELSE 'QUARANTINE_ML_OUTLIERS' END AS action_type,
-  finding_type = 'NUMERICAL_OUTLIERS' OR coalesce(affected_pct > 15, FALSE) AS approval,
+  finding_type IN ('NUMERICAL_OUTLIERS', 'ML_ISOLATION_FOREST_ANOMALY') OR coalesce(affected_pct > 15, FALSE) AS approval,
   row_number() OVER (ORDER BY stage, ordinal, column_name NULLS FIRST) AS rn
   FROM findings WHERE finding_type <> 'DISTRIBUTION_DRIFT'),
 act AS (SELECT rn, 'ACT-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS action_id, action_type,
   CASE finding_type WHEN 'MISSING_VALUES' THEN 'COLUMN' WHEN 'COLUMN_REMOVED' THEN 'SCHEMA' ELSE 'DATASET' END
     AS target_type,
-  CASE WHEN finding_type = 'DUPLICATE_RECORDS' THEN 'ALL_ROWS' ELSE column_name END AS target, severity,
-  CASE WHEN finding_type = 'NUMERICAL_OUTLIERS' THEN 'MEDIUM' WHEN NOT approval THEN 'LOW'
+  CASE WHEN finding_type = 'DUPLICATE_RECORDS' THEN 'ALL_ROWS' ELSE coalesce(column_name, 'MULTIVARIATE') END AS target, severity,
+  CASE WHEN action_type = 'QUARANTINE_ML_OUTLIERS' THEN 'MEDIUM' WHEN NOT approval THEN 'LOW'
     WHEN finding_type = 'MISSING_VALUES' THEN 'HIGH' ELSE 'MEDIUM' END AS risk_level,
   CASE WHEN approval THEN 'REQUIRES_OPERATOR_APPROVAL' ELSE 'POLICY_APPROVED' END AS policy_status,
   CASE WHEN approval THEN 'ADMIN' ELSE 'DATA_ENGINEER' END AS required_role,

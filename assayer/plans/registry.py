@@ -15,7 +15,7 @@ from assayer.operators import (causes, drift, faults, findings as fnd, forest, h
                                profile, quality, recovery, reports, runs, schema)
 from assayer.plans import audit as plans
 from assayer.plans.cases import (LINE_KEYS, etl_runs, faulted_customer, faulted_lineitem,
-                                 faulted_orders, line_findings, scaled_events, table)
+                                 faulted_orders, fixed_forest, line_findings, scaled_events, table)
 from assayer.session import shared_dir, written
 from assayer.sources import readers, stores
 from assayer.streaming import streams
@@ -414,6 +414,18 @@ def iforest_scores(spark, sf):
     return forest.forest_scores(faulted_lineitem(spark, sf), LINE_KEYS)
 
 
+@query
+def forest_scores_fixed(spark, sf):
+    """Scores of a forest that is given, not fitted."""
+    s = forest.forest_scores(faulted_lineitem(spark, sf), LINE_KEYS, fixed_forest())
+    return s.select("_rid", F.round("score", 6).alias("score"))
+
+
+@query
+def forest_rows_fixed(spark, sf):
+    return forest.forest_rows(faulted_lineitem(spark, sf), LINE_KEYS, model=fixed_forest()).select("_rid", "score")
+
+
 @query
 def iforest_rows(spark, sf):
     return forest.forest_rows(faulted_customer(spark, sf), ["c_custkey"], unique_keys=True)
@@ -780,6 +792,17 @@ def remediate_quarantine_log(spark, sf):
     return log.join(kept, "step", "left").select("step", "action_type", "target", "rows_affected", "rows_aside", "key_sum")
 
 
+@query
+def remediate_forest(spark, sf):
+    """Rows that the forest flags, set aside by row id."""
+    kept, aside, _ = recovery.run_actions(
+        faulted_lineitem(spark, sf), [{"action_type": "QUARANTINE_ML_OUTLIERS", "target": "MULTIVARIATE"}], LINE_KEYS,
+        fixed_forest())
+    columns = [*LINE_KEYS, "l_quantity"]
+    return kept.select(*columns, F.lit("kept").alias("side")).unionByName(
+        aside.select(*columns, F.lit("quarantined").alias("side")))
+
+
 def action_requests(actions):
     """What a caller asks for: the plan itself, one item without id, one forged type,
     one unknown target."""
