@@ -669,6 +669,15 @@ SQL["audit_hash"] = f"""{FINDINGS}, {CANON}, {STATUS} SELECT sha256(CAST(json_ob
   'status', status, 'highest_severity', highest_severity, 'row_count', (SELECT count(*) FROM fl), 'column_count', 10,
   'finding_count', finding_count, 'findings', (SELECT list({{'type': type, 'severity': severity, 'column': "column",
   'message': message}} ORDER BY position) FROM cn)) AS VARCHAR)) AS audit_hash FROM st"""
+CANON_RECORD = """SELECT CAST(json_object('v', 1, 'dataset_path', 'lineitem',
+  'status', status, 'highest_severity', highest_severity, 'row_count', (SELECT count(*) FROM fl), 'column_count', 10,
+  'finding_count', finding_count, 'findings', (SELECT list({'type': type, 'severity': severity, 'column': "column",
+  'message': message} ORDER BY position) FROM cn)) AS VARCHAR) AS record FROM st"""
+#: The key, padded to a block and combined with the two constants of the keyed hash.
+PADDED = """(SELECT list_aggregate(list_transform(range(1, 65),
+  lambda i: chr(xor(CASE WHEN i <= length(k) THEN ascii(k[i]) ELSE 0 END, {pad}))), 'string_agg', '') FROM ky)"""
+SQL["audit_hmac"] = f"""{FINDINGS}, {CANON}, {STATUS}, ky AS (SELECT max(r_name) AS k FROM region), cr AS ({CANON_RECORD})
+SELECT sha256(encode({PADDED.format(pad=0x5C)}) || unhex(sha256({PADDED.format(pad=0x36)} || record))) AS audit_hmac FROM cr"""
 INSPECTIONS = f"""{RUN_CHECKS}, wr AS (SELECT run_id, count(*) AS finding_count,
   arg_max(severity, {SEVERITY_ORDER}) AS worst FROM rf GROUP BY run_id),
 ins AS (SELECT r.run_id AS inspection_id, 'events/' || pipeline_id AS dataset_path,
@@ -919,12 +928,29 @@ FROM la JOIN rf ON la.inspection_id = rf.run_id"""
 
 # --- streams ------------------------------------------------------------------------------------------------------------
 
-SQL["stream_runs"] = """WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
-SELECT event_type AS pipeline_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows_input,
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+SQL["stream_audit"] = f"""WITH fv AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id) FROM events),
+{measures('o', 'fv', [(4, 'value')])}, {ks('k', long_form('fv', [(4, 'value')]), long_form('events', [(4, 'value')]))}
+SELECT 1 AS stage, position AS ordinal, 'MISSING_VALUES' AS finding_type, "column" AS column_name, severity,
+  'Column ''' || "column" || ''' contains ' || missing_count || ' missing value(s).' AS message, missing_count AS affected_count,
+  missing_percentage AS affected_pct, CAST(NULL AS VARCHAR) AS expected_type, CAST(NULL AS VARCHAR) AS actual_type,
+  CAST(json_object('column', "column", 'missing_count', missing_count, 'missing_percentage', missing_percentage,
+    'total_rows', total_rows) AS VARCHAR) AS evidence, 0 AS batch_id
+FROM ({missing_values('fv', EVENT_COLUMNS, 'event_id')}) UNION ALL
+SELECT 2, 1, 'DUPLICATE_RECORDS', NULL, severity, 'Detected ' || duplicate_count || ' duplicate record(s).', duplicate_count,
+  duplicate_percentage, NULL, NULL, CAST(json_object('duplicate_count', duplicate_count, 'duplicate_percentage',
+    duplicate_percentage, 'total_rows', total_rows) AS VARCHAR), 0
+FROM ({duplicates('fv', ', '.join(EVENT_COLUMNS))}) UNION ALL
+SELECT 6, ordinal + 1, 'NUMERICAL_OUTLIERS', "column", severity, message, iqr_count, pct, NULL, NULL,
+  CAST(json_object('column', "column", 'outlier_count', iqr_count, 'outlier_percentage', pct, 'total_valid', n,
+    'lower_fence', round(lower_fence, 4), 'upper_fence', round(upper_fence, 4), 'mean', round(mean, 4), 'std', round(std, 4),
+    'skewness', round(skewness, 4), 'max_z_score', round(max_z, 2)) AS VARCHAR), 0
+FROM o_f UNION ALL
+SELECT 8, ordinal + 1, 'DISTRIBUTION_DRIFT', "column", severity, message, NULL, NULL, NULL, NULL, NULL, 0 FROM k_d WHERE is_drift"""
+SQL["stream_runs"] = """SELECT event_type AS pipeline_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows_input,
   count(*) FILTER (WHERE value < 100) AS rows_output,
   round(date_diff('microsecond', min(ts), max(ts)) / 1000.0, 3) AS duration_ms
-FROM events, w GROUP BY event_type, date_trunc('day', ts), mark
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= mark"""
+FROM events GROUP BY event_type, date_trunc('day', ts)"""
 
 # --- faults -------------------------------------------------------------------------------------------------------------
 

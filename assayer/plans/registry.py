@@ -901,7 +901,7 @@ def audit_dossier(spark, sf):
 @query
 def stream_runs(spark, sf):
     events = streams.stream_table(spark, sf, "events.parquet")
-    return streams.run_to_table(streams.run_counters(events), "runs").select(
+    return streams.run_upserts(streams.run_counters(events), ["pipeline_id", "day"], "runs").select(
         "pipeline_id", "day", "rows_input", "rows_output", F.round("duration_ms", 3).alias("duration_ms"))
 
 
@@ -909,13 +909,12 @@ def stream_runs(spark, sf):
 def stream_audit(spark, sf):
     events = streams.stream_table(spark, sf, "events.parquet")
     faulted = faults.inject_missing(events, "user_id", "event_id", 5)
-    baseline = schema.infer_schema(table(spark, sf, "events"))
+    store = stores.Store(spark, _scratch(spark, "store"))
+    store.set_baseline("events", table(spark, sf, "events"))
 
     def check(batch):
-        return fnd.union_findings([
-            quality.missing_findings(batch, "event_id"), quality.duplicate_findings(batch),
-            schema.schema_findings(baseline, schema.infer_schema(batch)),
-            outliers.outlier_findings(batch)])
+        expected, reference = store.get_baseline("events")
+        return plans.audit(batch, order_key="event_id", expected=expected, reference=reference)
 
     return streams.audited_stream(faulted, check)
 

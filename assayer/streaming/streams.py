@@ -49,6 +49,27 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(base)
 
 
+def run_upserts(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Process everything available; the newest state of each key, open windows included.
+
+    Every batch writes what it changed to a folder of its own, so a repeated batch
+    overwrites its own rows; the row of the latest batch stands for its key.
+    """
+    spark = stream.sparkSession
+    base = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .parquet(os.path.join(base, f"batch={batch_id}")))
+
+    (stream.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", base + "-state")
+     .trigger(availableNow=True).start().awaitTermination())
+    schema = stream.schema.add("_batch", "long")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(base)
+    newest = F.max_by(F.struct(*stream.columns), "_batch").alias("row")
+    return rows.groupBy(*keys).agg(newest).select("row.*")
+
+
 def audit_stream(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], target: str,
                  state: str) -> None:
     """Audit each micro-batch; findings land in a folder named after the batch, so a
