@@ -69,12 +69,22 @@ def latest_audit(inspections: DataFrame) -> DataFrame:
 def health_index(inspections: DataFrame, findings: DataFrame) -> DataFrame:
     """100 minus penalties of the latest audit's findings; 100 when there is none."""
     latest = latest_audit(inspections).select("inspection_id").scalar()
+    return _health(findings.where(F.col("inspection_id") == latest))
+
+
+def health_by_audit(inspections: DataFrame, findings: DataFrame) -> DataFrame:
+    """(inspection_id, health_index, health_status) of every audit, those without findings too."""
+    rows = inspections.select("inspection_id").join(findings, "inspection_id", "left")
+    return _health(rows, "inspection_id")
+
+
+def _health(findings: DataFrame, *by: str) -> DataFrame:
     penalty = F.lit(0)
     for name, weight in PENALTY.items():
         penalty = penalty + F.count_if(F.col("severity") == name) * weight
     index = F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("penalty")))
-    return (findings.where(F.col("inspection_id") == latest).agg(penalty.alias("penalty"))
-            .select(index.cast("long").alias("health_index"))
+    return (findings.groupBy(*by).agg(penalty.alias("penalty"))
+            .select(*by, index.cast("long").alias("health_index"))
             .withColumn("health_status", F.when(F.col("health_index") >= OPTIMAL, "OPTIMAL")
                         .when(F.col("health_index") >= DEGRADED, "DEGRADED")
                         .otherwise("CRITICAL_ATTENTION")))
@@ -90,15 +100,14 @@ def dashboard_totals(inspections: DataFrame, findings: DataFrame, runs: DataFram
 
 
 def audit_dossier(inspections: DataFrame, findings: DataFrame, inspection_id: Column | None = None) -> DataFrame:
-    """One audit with its findings in creation order; the latest audit by default."""
+    """One audit with its findings in creation order; the latest audit by default.  A healthy
+    audit is one row without a finding."""
     if inspection_id is None:
-        inspection_id = latest_with_findings(inspections)
+        inspection_id = latest_audit(inspections).select("inspection_id").scalar()
     run = inspections.where(F.col("inspection_id") == inspection_id)
-    return (run.join(findings, "inspection_id")
+    return (run.join(findings.select("inspection_id", "created_order", "finding_type", "severity", "message"),
+                     "inspection_id", "left")
             .select("inspection_id", "dataset_path", "status", "highest_severity", "row_count",
                     F.col("created_order").alias("position"), "finding_type", "severity", "message")
             .orderBy("position"))
 
-
-def latest_with_findings(inspections: DataFrame) -> Column:
-    return latest_audit(inspections.where("finding_count > 0")).select("inspection_id").scalar()

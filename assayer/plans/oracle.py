@@ -247,6 +247,18 @@ def sample_summary(table: str, columns, path: str) -> str:
 
 
 ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+SQL["persist_findings"] = f"""WITH {FO}, {measures('o', 'fo', at(ORDER_NUMBERS, ORDER_COLUMNS))}, f AS (
+SELECT 1 AS stage, position AS ordinal, 'MISSING_VALUES' AS finding_type, "column" AS column_name, severity,
+  'Column ''' || "column" || ''' contains ' || missing_count || ' missing value(s).' AS message
+FROM ({missing_values('fo', ORDER_COLUMNS, 'o_orderkey')}) UNION ALL
+SELECT 2, 1, 'DUPLICATE_RECORDS', NULL, severity, 'Detected ' || duplicate_count || ' duplicate record(s).'
+FROM ({duplicates('fo', ', '.join(ORDER_COLUMNS))}) UNION ALL
+SELECT 6, ordinal + 1, 'NUMERICAL_OUTLIERS', "column", severity, message FROM o_f)
+SELECT 'orders' AS dataset_path, day, 'ANOMALY_DETECTED' AS status, (SELECT count(*) FROM fo) AS row_count,
+  CAST(6 AS BIGINT) AS column_count, (SELECT count(*) FROM f) AS finding_count, 64 AS hash_length,
+  CAST(row_number() OVER (PARTITION BY day ORDER BY stage, ordinal) AS INTEGER) AS created_order, finding_type, column_name,
+  severity, message
+FROM f, (VALUES ('2024-01-01'), ('2024-01-02')) AS d(day)"""
 SQL["baseline_upsert"] = f"""
 WITH late AS (SELECT * REPLACE (o_totalprice * 2.0 AS o_totalprice) FROM orders), ev AS (SELECT * FROM events)
 {sample_summary('late', ORDER_NUMBERS, ", 'orders' AS dataset_path")} UNION ALL
@@ -908,23 +920,27 @@ SQL["latest_audit"] = f"""{INSPECTIONS} SELECT inspection_id, dataset_path, stat
 FROM ins ORDER BY created_at DESC, inspection_id LIMIT 1"""
 SQL["recent_audits"] = f"""{INSPECTIONS} SELECT inspection_id, dataset_path, split_part(dataset_path, '/', -1) AS friendly_name,
   status, highest_severity, row_count, finding_count FROM ins ORDER BY created_at DESC, inspection_id LIMIT 20"""
-SQL["health_index"] = f"""{INSPECTIONS}, la AS (SELECT inspection_id FROM ins WHERE finding_count > 0
-  ORDER BY created_at DESC, inspection_id LIMIT 1),
-ix AS (SELECT CAST(greatest(0, least(100, 100 - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN 20 WHEN 'HIGH' THEN 10
-  WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 1 ELSE 0 END), 0))) AS BIGINT) AS health_index
-  FROM rf WHERE run_id = (SELECT inspection_id FROM la))
-SELECT health_index, CASE WHEN health_index >= 85 THEN 'OPTIMAL' WHEN health_index >= 60 THEN 'DEGRADED'
-  ELSE 'CRITICAL_ATTENTION' END AS health_status FROM ix"""
+HEALTH = """CAST(greatest(0, least(100, 100 - coalesce(sum(CASE severity WHEN 'CRITICAL' THEN 20 WHEN 'HIGH' THEN 10
+  WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 1 ELSE 0 END), 0))) AS BIGINT)"""
+HEALTH_STATUS = """CASE WHEN health_index >= 85 THEN 'OPTIMAL' WHEN health_index >= 60 THEN 'DEGRADED'
+  ELSE 'CRITICAL_ATTENTION' END AS health_status"""
+SQL["health_index"] = f"""{INSPECTIONS}, la AS (SELECT inspection_id FROM ins ORDER BY created_at DESC, inspection_id LIMIT 1),
+ix AS (SELECT {HEALTH} AS health_index FROM rf WHERE run_id = (SELECT inspection_id FROM la))
+SELECT health_index, {HEALTH_STATUS} FROM ix"""
+SQL["health_by_audit"] = f"""{INSPECTIONS},
+ix AS (SELECT inspection_id, {HEALTH} AS health_index FROM ins LEFT JOIN rf ON inspection_id = run_id GROUP BY inspection_id)
+SELECT inspection_id, health_index, {HEALTH_STATUS} FROM ix"""
 SQL["dashboard_totals"] = f"""{INSPECTIONS} SELECT count(*) AS total_findings,
   count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_findings,
   count(*) FILTER (WHERE severity = 'HIGH') AS high_findings, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_findings,
   count(*) FILTER (WHERE severity = 'LOW') AS low_findings, (SELECT count(*) FROM ins) AS total_inspections,
   (SELECT count(*) FROM runs) AS total_etl_runs FROM rf"""
-SQL["audit_dossier"] = f"""{INSPECTIONS}, la AS (SELECT * FROM ins WHERE finding_count > 0
-  ORDER BY created_at DESC, inspection_id LIMIT 1)
+SQL["audit_dossier"] = f"""{INSPECTIONS}, la AS (
+  (SELECT * FROM ins ORDER BY created_at DESC, inspection_id LIMIT 1) UNION ALL
+  (SELECT * FROM ins WHERE finding_count > 0 ORDER BY created_at DESC, inspection_id LIMIT 1))
 SELECT inspection_id, dataset_path, status, highest_severity, row_count, metric_order AS position, finding_type, severity,
   finding_type || ' detected. The ' || metric || ' metric deviates significantly from historical behaviour.' AS message
-FROM la JOIN rf ON la.inspection_id = rf.run_id"""
+FROM la LEFT JOIN rf ON la.inspection_id = rf.run_id"""
 
 # --- streams ------------------------------------------------------------------------------------------------------------
 

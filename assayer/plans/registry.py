@@ -77,12 +77,14 @@ def table_fingerprint(spark, sf):
 @query
 def persist_findings(spark, sf):
     store = stores.Store(spark, _scratch(spark, "store"))
-    found = written(quality_only(spark, sf), "findings")
-    inspection = fnd.inspection_summary(found)
-    for _ in range(2):
-        store.save_inspection("orders", inspection, found)
-    return store.read("findings", "orders").select("dataset_path", "finding_type", "column_name",
-                                                   "severity", "message")
+    """Two inspections of one table at different times, the second of them saved twice."""
+    found = quality_only(spark, sf)
+    for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:00"):
+        store.save_inspection("orders", faulted_orders(spark, sf), found, at)
+    return store.inspections().join(store.findings(), "inspection_id").select(
+        "dataset_path", F.date_format("created_at", "yyyy-MM-dd").alias("day"), "status", "row_count", "column_count",
+        "finding_count", F.length("audit_hash").alias("hash_length"), "created_order", "finding_type", "column_name",
+        "severity", "message")
 
 
 def quality_only(spark, sf):
@@ -850,7 +852,7 @@ def recovery_log(spark, sf):
     store = stores.Store(spark, _scratch(spark, "store"))
     store.append("recovery_runs", done["verdict"], "orders")
     store.append("recovery_log", reports.recovery_log_table(done["verdict"], "orders", "ADMIN"), "orders")
-    store.save_inspection("orders (Remediated)", fnd.inspection_summary(done["after"]), done["after"])
+    store.save_inspection("orders (Remediated)", done["repaired"], done["after"], "2024-01-01 00:00:00")
     return store.read("recovery_runs", "orders")
 
 
@@ -860,40 +862,51 @@ def inspections(spark, sf):
     return history.inspections_from_runs(etl_runs(spark, sf), runs.run_findings(checks(spark, sf)))
 
 
-def inspection_findings(spark, sf):
-    return runs.run_findings(checks(spark, sf)).select(
+def stored_history(spark, sf):
+    """The inspections of all runs, saved in one commit and read back."""
+    store = stores.Store(spark, _scratch(spark, "store"))
+    found = written(runs.run_findings(checks(spark, sf)), "findings")
+    store.save_inspections(history.inspections_from_runs(etl_runs(spark, sf), found), found.select(
         F.col("run_id").alias("inspection_id"), "finding_type", "severity",
-        F.col("explanation").alias("message"), F.col("metric_order").alias("created_order"))
+        F.col("explanation").alias("message"), F.col("metric_order").alias("created_order")))
+    return store.inspections(), store.findings()
 
 
 @query
 def latest_audit(spark, sf):
-    return history.latest_audit(inspections(spark, sf)).select(
+    return history.latest_audit(stored_history(spark, sf)[0]).select(
         "inspection_id", "dataset_path", "status", "highest_severity", "row_count", "finding_count")
 
 
 @query
 def recent_audits(spark, sf):
-    return history.recent_audits(inspections(spark, sf)).select(
+    return history.recent_audits(stored_history(spark, sf)[0]).select(
         "inspection_id", "dataset_path", "friendly_name", "status", "highest_severity", "row_count",
         "finding_count")
 
 
 @query
 def health_index(spark, sf):
-    i = inspections(spark, sf).where("finding_count > 0")
-    return history.health_index(i, inspection_findings(spark, sf))
+    return history.health_index(*stored_history(spark, sf))
+
+
+@query
+def health_by_audit(spark, sf):
+    """The index of every stored audit."""
+    return history.health_by_audit(*stored_history(spark, sf))
 
 
 @query
 def dashboard_totals(spark, sf):
-    return history.dashboard_totals(inspections(spark, sf), inspection_findings(spark, sf),
-                                    etl_runs(spark, sf))
+    return history.dashboard_totals(*stored_history(spark, sf), etl_runs(spark, sf))
 
 
 @query
 def audit_dossier(spark, sf):
-    return history.audit_dossier(inspections(spark, sf), inspection_findings(spark, sf))
+    """The latest audit, and the latest one of those that found something."""
+    kept, found = stored_history(spark, sf)
+    latest = history.latest_audit(kept.where("finding_count > 0")).select("inspection_id").scalar()
+    return history.audit_dossier(kept, found).unionByName(history.audit_dossier(kept, found, latest))
 
 
 # --- streams --------------------------------------------------------------------------------

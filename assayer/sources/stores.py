@@ -6,18 +6,27 @@ Histories are append-only Parquet, partitioned by the low-cardinality
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.expr import ident
+from assayer.functions.signing import canonical_record, hmac_sha256
+from assayer.operators.findings import audit_status
 from assayer.operators.quality import quality_score
 from assayer.session import written
 
 
+FINDING_COLUMNS = ("finding_type", "column_name", "severity", "message", "affected_count", "affected_pct", "evidence")
+FINDING_TYPE = "array<struct<" + ", ".join(f"{c}: string" for c in FINDING_COLUMNS) + ", created_order: int>>"
+PROOF_COLUMNS = ("method", "column_name", "status", "flagged_count")
+PROOF_TYPE = "array<struct<method: string, column_name: string, status: string, flagged_count: bigint>>"
+
+
 # --- fingerprint ---------------------------------------------------------------
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
@@ -109,33 +118,109 @@ class Store:
         self.set_baseline(dataset_path, df)
         return True
 
-    def save_inspection(self, dataset_path: str, inspection: DataFrame, findings: DataFrame,
-                        proofs: DataFrame | None = None) -> None:
-        """Append one inspection with its findings (and method proofs); history is kept."""
-        self.append("inspections", inspection, dataset_path)
-        self.append("findings", findings, dataset_path)
-        if proofs is not None:
-            self.append("proofs", proofs, dataset_path)
+    # inspections: one record each, with its findings and proofs nested, so that saving is one commit
+
+    def save_inspection(self, dataset_path: str, audited: DataFrame, findings: DataFrame, created_at: str, *,
+                        inspection_id: str | None = None, proofs: DataFrame | None = None,
+                        secret: bytes | None = None) -> str:
+        """Append one inspection of ``audited``; its id.
+
+        The id defaults to a digest of path, time and findings, so a retry writes the same
+        id again and is read once.  The record holds time, counts, digest and, with
+        ``secret``, the keyed signature.  Findings of one audit are a few per column.
+        """
+        kept = written(findings, "findings")
+        status = audit_status(kept)
+        text = canonical_record(kept, dataset_path, audited.agg(F.count(F.lit(1))).scalar(), len(audited.columns),
+                                status.select("status").scalar(), status.select("highest_severity").scalar())
+        signed = text.select("record", F.sha2("record", 256).alias("audit_hash"),
+                             (hmac_sha256(F.col("record"), secret) if secret else F.lit(None).cast("string"))
+                             .alias("audit_hmac")).first()
+        name = inspection_id or hashlib.sha256(f"{dataset_path}|{created_at}|{signed.audit_hash}".encode()).hexdigest()
+        head = status.select(
+            F.lit(name).alias("inspection_id"), "status", "highest_severity", "finding_count",
+            audited.agg(F.count(F.lit(1))).scalar().alias("row_count"),
+            F.lit(len(audited.columns)).cast("long").alias("column_count"),
+            F.lit(created_at).cast("timestamp").alias("created_at"), F.lit(signed.audit_hash).alias("audit_hash"),
+            F.lit(signed.audit_hmac).cast("string").alias("audit_hmac"))
+        order = Window.orderBy("stage", "ordinal", F.col("column_name").asc_nulls_first())
+        rows = kept.withColumn("created_order", F.row_number().over(order))
+        nested = _nest(rows, "created_order").alias("findings")
+        proof = (proofs.select(F.struct(*PROOF_COLUMNS).alias("p")).agg(F.array_sort(F.collect_list("p"))).scalar()
+                 if proofs is not None else F.array()).cast(PROOF_TYPE)
+        self.append("inspections", head.withColumn("findings", rows.agg(nested).scalar()).withColumn("proofs", proof),
+                    dataset_path)
+        return name
+
+    def save_inspections(self, inspections: DataFrame, findings: DataFrame) -> None:
+        """Append many inspections (see history) in one commit; findings(inspection_id, finding_type,
+        severity, message, created_order)."""
+        none = F.lit(None).cast("string")
+        rows = findings.select("inspection_id", *[
+            F.col(c) if c in findings.columns else none.alias(c) for c in FINDING_COLUMNS], "created_order")
+        grouped = rows.groupBy("inspection_id").agg(_nest(rows, "created_order").alias("findings"))
+        whole = inspections.join(grouped, "inspection_id", "left").select(
+            "inspection_id", "dataset_path", "status", "highest_severity", F.col("finding_count").cast("long"),
+            F.col("row_count").cast("long"), F.lit(None).cast("long").alias("column_count"),
+            F.col("created_at").cast("timestamp"), none.alias("audit_hash"), none.alias("audit_hmac"),
+            F.coalesce("findings", F.array().cast(FINDING_TYPE)).alias("findings"),
+            F.array().cast(PROOF_TYPE).alias("proofs"))
+        whole.write.mode("append").partitionBy("dataset_path").parquet(self.path("inspections"))
+
+    def inspections(self) -> DataFrame | None:
+        """One row per inspection without the nested parts; a record written twice counts once."""
+        found = self._inspections()
+        return found if found is None else found.drop("findings", "proofs")
+
+    def _inspections(self) -> DataFrame | None:
+        found = self.read("inspections")
+        return found if found is None else found.dropDuplicates(["inspection_id"])
+
+    def findings(self) -> DataFrame | None:
+        """Findings of all inspections, with the id of theirs."""
+        found = self._inspections()
+        return found if found is None else found.select("inspection_id", F.inline("findings"))
+
+    def proofs(self) -> DataFrame | None:
+        """Proofs of all inspections, each with the finding that it supports, if there is one."""
+        found = self._inspections()
+        if found is None:
+            return None
+        kind = _proof_kind(F.col("p.method"))
+        same = F.filter("findings", lambda f: (f["finding_type"] == kind) & f["column_name"].eqNullSafe(F.col("p.column_name")))
+        return found.select("inspection_id", "findings", F.explode("proofs").alias("p")).select(
+            "inspection_id", "p.*", F.get(same, F.lit(0))["severity"].alias("finding_severity"), (F.size(same) > 0).alias("is_linked"))
+
+
+def _nest(rows: DataFrame, order: str):
+    """Findings as a sorted array."""
+    item = F.struct(order, *FINDING_COLUMNS)
+    return F.transform(F.array_sort(F.collect_list(item)),
+                       lambda f: F.struct(*[f[c].cast("string").alias(c) for c in FINDING_COLUMNS],
+                                          f[order].cast("int").alias(order))).cast(FINDING_TYPE)
 
 
 def abs_hash(text: str) -> str:
     """Folder-safe name of a dataset path (rows of different data sets differ in schema)."""
-    import hashlib
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
+def _proof_kind(method):
+    """Type of the finding that a method's proof supports."""
+    return (F.when(method.isin("Z_SCORE", "IQR"), "NUMERICAL_OUTLIERS")
+            .when(method == "ISOLATION_FOREST", "ML_ISOLATION_FOREST_ANOMALY").otherwise("DISTRIBUTION_DRIFT"))
+
+
 def link_proofs(proofs: DataFrame, findings: DataFrame) -> DataFrame:
     """Each proof with the finding of the same method's type and column, if any.
 
-    Broadcast bound: findings of one audit, a few per column.
+    Whether the findings are broadcast is left to the engine: they may be a stored history.
     """
-    kind = (F.when(F.col("method").isin("Z_SCORE", "IQR"), "NUMERICAL_OUTLIERS")
-            .when(F.col("method") == "ISOLATION_FOREST", "ML_ISOLATION_FOREST_ANOMALY")
-            .otherwise("DISTRIBUTION_DRIFT"))
+    kind = _proof_kind(F.col("method"))
     f = findings.select("finding_type", F.col("column_name").alias("f_column"),
                         F.col("severity").alias("finding_severity"))
     p = proofs.withColumn("finding_type", kind)
-    return (p.join(F.broadcast(f), (p["finding_type"] == f["finding_type"])
+    return (p.join(f, (p["finding_type"] == f["finding_type"])
                    & p["column_name"].eqNullSafe(f["f_column"]), "left")
             .select("method", "column_name", "status", "flagged_count",
                     F.col("finding_severity"), F.col("finding_severity").isNotNull().alias("is_linked")))

@@ -376,8 +376,13 @@ def test_store(spark, tmp_path, small):
     assert {r.column for r in store.get_baseline("b")[0].collect()} == {"order_id"}
     found = quality.missing_findings(small)
     for _ in range(2):
-        store.save_inspection("a", fnd.audit_status(found), found)
-    assert store.read("inspections", "a").count() == 2
+        name = store.save_inspection("a", small, found, "2024-01-01 00:00:00", secret=b"k")
+    other = store.save_inspection("a", small, found, "2024-01-02 00:00:00",
+                                  proofs=spark.createDataFrame([("Z_SCORE", "amount", "HEALTHY", 0)], stores.PROOF_TYPE[13:-2].replace(":", "")))
+    assert {r.inspection_id for r in store.inspections().collect()} == {name, other}
+    assert store.findings().count() == 2 * found.count() and one(store.proofs()).is_linked is False
+    assert {(r.row_count, r.column_count) for r in store.inspections().collect()} == {(small.count(), len(small.columns))}
+    assert [r.audit_hmac is not None for r in store.inspections().orderBy("created_at").collect()] == [True, False]
 
 
 def test_stream_audit_equals_batch(spark, data):
