@@ -275,16 +275,7 @@ SELECT 1 AS position, 'Dataset Path' AS metric, 'lineitem' AS value UNION ALL
 SELECT 2, 'Audit Status', CASE WHEN n > 0 THEN 'ANOMALY_DETECTED' ELSE 'HEALTHY' END FROM s UNION ALL
 SELECT 3, 'Row Count', CAST(r AS VARCHAR) FROM t UNION ALL SELECT 4, 'Column Count', '10' UNION ALL
 SELECT 5, 'Finding Count', CAST(n AS VARCHAR) FROM s UNION ALL
-SELECT 6, 'Audit SHA-256 Hash', 'UNVERIFIED'"""
-SQL["report_methods"] = f"""{LINE_MEASURES}, t AS (SELECT count(*) AS n, sum(z_count) AS z, sum(iqr_count) AS q,
-  max(round(max_z, 2)) AS mz FROM o_m)
-SELECT 'Z-Score' AS method, 'Inspector Agent' AS agent, 'Statistical anomaly detection' AS classification,
-       CASE WHEN n > 0 THEN 'EXECUTED' ELSE 'NOT_APPLICABLE' END AS execution_status,
-       'Columns analyzed: ' || n || ', Flagged count: ' || z || ', Max |Z|: ' || printf('%.2f', mz) ||
-       ', Threshold: |z| > 3.0' AS evidence FROM t UNION ALL
-SELECT 'IQR', 'Inspector Agent', 'Statistical outlier detection',
-       CASE WHEN n > 0 THEN 'EXECUTED' ELSE 'NOT_APPLICABLE' END,
-       'Columns analyzed: ' || n || ', Outliers count: ' || q || ', Method rule: 1.5 × IQR' FROM t"""
+SELECT 6, 'Audit SHA-256 Hash', 'UNVERIFIED' UNION ALL SELECT 7, 'HMAC Signature', 'UNVERIFIED'"""
 SQL["export_iso_dates"] = r"""
 SELECT o_orderkey, shipped, CASE WHEN regexp_full_match(shipped, '\d{4}-\d{2}-\d{2}') THEN CAST(shipped AS DATE) END
        AS shipped_date
@@ -491,12 +482,41 @@ SQL["boxplot_summary"] = f"""{LINE_MEASURES} SELECT "column", n AS sample_size,
   pct AS outlier_percentage, CASE WHEN iqr_count > 0 THEN 'OUTLIER_DETECTED' ELSE 'HEALTHY' END AS iqr_status,
   z_count AS flagged_count, round(max_z, 2) AS max_z_score,
   CASE WHEN z_count > 0 THEN 'ANOMALY_DETECTED' ELSE 'HEALTHY' END AS z_status FROM o_m"""
-SQL["method_proofs"] = f"""{LINE_MEASURES}, t AS (SELECT count(*) AS n, CAST(sum(z_count) AS BIGINT) AS z,
-  CAST(sum(iqr_count) AS BIGINT) AS q, max(round(max_z, 2)) AS mz FROM o_m)
-SELECT n AS columns_analyzed, 'Z-Score' AS method, 'EXECUTED' AS execution_status,
-  CASE WHEN z > 0 THEN 'ANOMALY_DETECTED' ELSE 'HEALTHY' END AS status, z AS total_flagged_count, mz AS max_z_score
-FROM t WHERE n > 0 UNION ALL
-SELECT n, 'IQR', 'EXECUTED', CASE WHEN q > 0 THEN 'OUTLIER_DETECTED' ELSE 'HEALTHY' END, q, NULL FROM t WHERE n > 0"""
+ZIQR = """t AS (SELECT count(*) AS n, CAST(sum(z_count) AS BIGINT) AS z,
+  CAST(sum(iqr_count) AS BIGINT) AS q, max(round(max_z, 2)) AS mz FROM o_m)"""
+FOREST_KIND, KS_KIND = "Isolation Forest", "Kolmogorov-Smirnov Two-Sample Test"
+
+
+def four_proofs(reference: bool) -> str:
+    ks_row = (f"""SELECT count(*), '{KS_KIND}', 'EXECUTED', CASE WHEN count(*) FILTER (WHERE is_drift) > 0 THEN 'DRIFT_DETECTED'
+  ELSE 'STABLE' END, count(*) FILTER (WHERE is_drift), NULL, NULL FROM k_d""" if reference else
+              f"SELECT 0, '{KS_KIND}', 'NOT_EXECUTED', 'NOT_EXECUTED', 0, NULL, NULL")
+    return f"""WITH {FL}, {measures('o', 'fl', LINE_AT)}, {LINE_KS}, {LINE_FOREST}, {ZIQR},
+pf AS (SELECT n AS columns_analyzed, 'Z-Score' AS method, 'EXECUTED' AS execution_status,
+  CASE WHEN z > 0 THEN 'ANOMALY_DETECTED' ELSE 'HEALTHY' END AS status, z AS total_flagged_count, mz AS max_z_score,
+  CAST(NULL AS BIGINT) AS samples FROM t UNION ALL
+SELECT n, 'IQR', 'EXECUTED', CASE WHEN q > 0 THEN 'OUTLIER_DETECTED' ELSE 'HEALTHY' END, q, NULL, NULL FROM t UNION ALL
+SELECT {len(FOREST.features)}, '{FOREST_KIND}', 'EXECUTED', CASE WHEN count(rid) > 0 THEN 'ANOMALY_DETECTED' ELSE 'HEALTHY' END,
+  count(rid), NULL, (SELECT n FROM fth) FROM ff UNION ALL
+{ks_row})"""
+
+
+SQL["method_proofs"] = four_proofs(True) + " SELECT * FROM pf"
+SQL["method_proofs_no_baseline"] = four_proofs(False) + " SELECT * FROM pf"
+SQL["report_methods"] = four_proofs(True) + f"""
+SELECT method, CASE method WHEN '{KS_KIND}' THEN 'Drift Agent' ELSE 'Inspector Agent' END AS agent,
+  CASE method WHEN 'Z-Score' THEN 'Statistical anomaly detection' WHEN 'IQR' THEN 'Statistical outlier detection'
+    WHEN '{FOREST_KIND}' THEN 'Unsupervised ML anomaly detection' ELSE 'Statistical distribution drift detection' END
+    AS classification, execution_status,
+  CASE method WHEN 'Z-Score' THEN 'Columns analyzed: ' || columns_analyzed || ', Flagged count: ' || total_flagged_count ||
+      ', Max |Z|: ' || printf('%.2f', max_z_score) || ', Threshold: |z| > 3.0'
+    WHEN 'IQR' THEN 'Columns analyzed: ' || columns_analyzed || ', Outliers count: ' || total_flagged_count || ', Method rule: 1.5 × IQR'
+    WHEN '{FOREST_KIND}' THEN 'Samples: ' || samples || ', Features: ' || columns_analyzed || ', Anomalies: ' ||
+      total_flagged_count || ', Contamination: auto'
+    ELSE 'Columns tested: ' || columns_analyzed || ', Drift count: ' || total_flagged_count || ', Rule: p < 0.05 AND D >= 0.10'
+    END AS evidence FROM pf"""
+SQL["report_findings"] = f"""{FINDINGS} SELECT CAST(position AS INTEGER) AS position, finding_type, severity, message, evidence
+FROM numbered"""
 
 # --- forest ---------------------------------------------------------------------------------------------
 

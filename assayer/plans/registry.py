@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assayer.functions import expr as X
 from assayer.functions import signing
 from assayer.operators import (causes, drift, faults, findings as fnd, forest, history, outliers,
-                               profile, quality, recovery, reports, runs, schema)
+                               profile, proofs, quality, recovery, reports, runs, schema)
 from assayer.plans import audit as plans
 from assayer.plans.cases import (LINE_KEYS, etl_runs, faulted_customer, faulted_lineitem,
                                  faulted_orders, fixed_forest, line_findings, scaled_events, table)
@@ -131,8 +131,12 @@ def report_summary(spark, sf):
 
 @query
 def report_methods(spark, sf):
-    return reports.method_sheet(outliers.method_proofs(
-        outliers.outlier_measures(faulted_lineitem(spark, sf))))
+    return reports.method_sheet(line_proofs(spark, sf, table(spark, sf, "lineitem")))
+
+
+@query
+def report_findings(spark, sf):
+    return reports.findings_log(line_findings(spark, sf))
 
 
 @query
@@ -396,7 +400,20 @@ def boxplot_summary(spark, sf):
 
 @query
 def method_proofs(spark, sf):
-    return outliers.method_proofs(outliers.outlier_measures(faulted_lineitem(spark, sf)))
+    return line_proofs(spark, sf, table(spark, sf, "lineitem"))
+
+
+@query
+def method_proofs_no_baseline(spark, sf):
+    """Without a reference the drift test is not executed."""
+    return line_proofs(spark, sf, None)
+
+
+def line_proofs(spark, sf, reference):
+    df = faulted_lineitem(spark, sf)
+    tested = drift.ks_test(drift.paired_counts(df, df.limit(0) if reference is None else reference))
+    return proofs.all_proofs(outliers.outlier_measures(df), df, forest.detect(df, LINE_KEYS, fixed_forest()), tested,
+                             reference)
 
 
 # --- isolation forest ------------------------------------------------------------------
