@@ -11,18 +11,22 @@ from pyspark.sql import types as T
 
 from assayer.functions.expr import bucket_sql, long_numbers, measured_columns, num, ordinals
 from assayer.operators.findings import as_findings
+from assayer.session import written
 
 # fixed values
 ALPHA, D_THRESHOLD, D_HIGH = 0.05, 0.10, 0.25
 MIN_VALUES, MIN_REFERENCE_ROWS, CURVE_POINTS = 10, 10, 20
 SERIES_TERMS = 100
-EXACT_PRODUCT = 250_000
+METHODS = ("asymptotic", "exact")
+
+#: Ranges into which a part is cut, and the distinct values that one task may put in order.
+SPLIT, PART_VALUES = 4096, 100_000
 
 
 def paired_counts(current: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None,
                   rule: str = "none", extra_identifiers: Iterable[str] = ()) -> DataFrame:
-    """(column, ordinal, value, c, r): how often each distinct value occurs on either
-    side.  Equal values combine on the map side, so a dominant value is one row."""
+    """(column, ordinal, value, c, r): each value counted on its side.  Rows with equal
+    values may be added up or not: what reads them only sums."""
     if columns is None:
         shared = set(measured_columns(reference, rule, extra_identifiers))
         columns = [c for c in measured_columns(current, rule, extra_identifiers) if c in shared]
@@ -32,43 +36,82 @@ def paired_counts(current: DataFrame, reference: DataFrame, columns: Sequence[st
     ref_pos = F.create_map(*[F.lit(x) for c in columns for x in (c, pos[c])])
     ref = long_numbers(reference, columns).select("column", ref_pos[F.col("column")].alias("ordinal"),
                                                   "value", F.lit(0).alias("c"), F.lit(1).alias("r"))
-    return (cur.unionByName(ref).groupBy("column", "ordinal", "value")
-            .agg(F.sum("c").alias("c"), F.sum("r").alias("r")))
+    return cur.unionByName(ref)
+
+
+def _edges(totals: DataFrame, path: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """Totals of parts in order, with what lies before each part (c0, r0; those of the path's start
+    added), the gap at its end, and a bound of the gap inside it."""
+    order = Window.partitionBy("column", *path).orderBy("part")
+    n, m = F.col("n_cur"), F.col("n_ref")
+    c1, r1 = F.col("c0") + F.col("bc"), F.col("r0") + F.col("br")
+    return (totals.withColumns({"c0": F.col("start_c") + F.sum("bc").over(order) - F.col("bc"),
+                                "r0": F.col("start_r") + F.sum("br").over(order) - F.col("br")})
+            .join(sizes.select("column", "n_cur", "n_ref"), "column")
+            .withColumns({"gap": F.abs(c1 / n - r1 / m),
+                          "bound": F.greatest(c1 / n - F.col("r0") / m, r1 / m - F.col("c0") / n)}))
 
 
-def ks_statistic(pairs: DataFrame) -> DataFrame:
+def _kept(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """Parts of more than one value whose inside may hold a larger gap than the best so far."""
+    return edges.join(best, "column").where("lo < hi AND bound > d").drop("d")
+
+
+def ks_statistic(pairs: DataFrame, part_values: int = PART_VALUES) -> DataFrame:
     """pairs(column, ordinal, value, c, r) -> one row per column with D and both means.
 
-    A running total over one column would order the whole column in one task.
-    Value buckets spread it; the running totals of the buckets (a small table) give
-    every bucket its start.  Buckets depend on values alone, so a recomputed task
-    gets the same rows.
+    Only totals of value buckets are taken over all rows; they combine before the
+    shuffle.  The gap at a bucket's end is exact, and the gap inside it is bounded by its
+    totals, so most buckets are done.  What may still hold the largest gap is cut
+    into equal ranges, again and again, until no part has more than
+    ``part_values`` distinct values, and only these parts are put in order.  Exact;
+    no task orders more than that, however narrow the range of a column is.
     """
-    ranged = pairs.withColumn("bucket", F.expr(bucket_sql("value")))
-    by_range = Window.partitionBy("column").orderBy("bucket")
-    whole = Window.partitionBy("column")
-    # one row per bucket: some thousand per column
-    totals = (ranged.groupBy("column", "bucket").agg(
-                  F.sum("c").alias("bc"), F.sum("r").alias("br"),
-                  F.sum(F.col("value") * F.col("c")).alias("sc"),
-                  F.sum(F.col("value") * F.col("r")).alias("sr"))
-              .select("column", "bucket",
-                      (F.sum("bc").over(by_range) - F.col("bc")).alias("c0"),
-                      (F.sum("br").over(by_range) - F.col("br")).alias("r0"),
-                      F.sum("bc").over(whole).alias("n_cur"), F.sum("br").over(whole).alias("n_ref"),
-                      F.sum("sc").over(whole).alias("s_cur"), F.sum("sr").over(whole).alias("s_ref"))
-              .where((F.col("n_cur") >= MIN_VALUES) & (F.col("n_ref") >= MIN_VALUES)))
-
-    inside = Window.partitionBy("column", "bucket").orderBy("value")
-    gap = F.abs((F.col("c0") + F.sum("c").over(inside)) / F.col("n_cur")
-                - (F.col("r0") + F.sum("r").over(inside)) / F.col("n_ref"))
-    return (ranged.join(totals, ["column", "bucket"]).withColumn("gap", gap)
-            .groupBy("column").agg(
-                F.first("ordinal").alias("ordinal"),
-                F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
-                F.max("gap").alias("d"),
-                (F.first("s_ref") / F.first("n_ref")).alias("ref_mean"),
-                (F.first("s_cur") / F.first("n_cur")).alias("cur_mean")))
+    marked = pairs.withColumn("part", F.expr(bucket_sql("value")))
+    totals = written(marked.groupBy("column", "part").agg(
+        F.max("ordinal").alias("ordinal"), F.sum("c").alias("bc"), F.sum("r").alias("br"),
+        F.sum(F.col("value") * F.col("c")).alias("sc"), F.sum(F.col("value") * F.col("r")).alias("sr"),
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.lit(0).cast("long").alias("start_c"),
+        F.lit(0).cast("long").alias("start_r")), "ks")
+    sizes = totals.groupBy("column").agg(
+        F.max("ordinal").alias("ordinal"), F.sum("br").alias("n_ref"), F.sum("bc").alias("n_cur"),
+        F.sum("sc").alias("s_cur"), F.sum("sr").alias("s_ref")).where(
+            (F.col("n_cur") >= MIN_VALUES) & (F.col("n_ref") >= MIN_VALUES))
+    edges = _edges(totals, [], sizes)
+    best = written(edges.groupBy("column").agg(F.max("gap").alias("d")), "ks")
+    kept = written(_kept(edges, best), "ks")
+    rows = marked.join(kept.select("column", "part"), ["column", "part"]).groupBy(
+        "column", F.col("part").alias("path"), "value").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
+    parts = kept.select("column", F.col("part").alias("path"), "lo", "hi", "c0", "r0")
+    while not parts.isEmpty():
+        rows = written(rows, "ks")
+        cut = rows.join(parts, ["column", "path"]).withColumn("part", F.least(F.lit(SPLIT - 1), F.floor(
+            (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLIT)).cast("long"))
+        totals = cut.groupBy("column", "path", "part").agg(
+            F.sum("c").alias("bc"), F.sum("r").alias("br"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+            F.count(F.lit(1)).alias("values"), F.first("c0").alias("start_c"), F.first("r0").alias("start_r"))
+        edges = _edges(totals, ["path"], sizes)
+        finer = best.unionByName(edges.groupBy("column").agg(F.max("gap").alias("d")))
+        best = written(finer.groupBy("column").agg(F.max("d").alias("d")), "ks")
+        kept = written(_kept(edges, best), "ks")
+        largest = kept.agg(F.max("values")).first()[0] or 0
+        named = F.xxhash64("path", "part")
+        rows = cut.select("column", "path", "part", "value", "c", "r").join(
+            kept.select("column", "path", "part"), ["column", "path", "part"]).select(
+            "column", named.alias("path"), "value", "c", "r")
+        parts = kept.select("column", named.alias("path"), "lo", "hi", "c0", "r0")
+        if largest <= part_values:
+            break
+    if not parts.isEmpty():
+        inside = Window.partitionBy("column", "path").orderBy("value")
+        gap = F.abs((F.col("c0") + F.sum("c").over(inside)) / F.col("n_cur")
+                    - (F.col("r0") + F.sum("r").over(inside)) / F.col("n_ref"))
+        within = (rows.join(parts, ["column", "path"]).join(sizes.select("column", "n_cur", "n_ref"), "column")
+                  .withColumn("gap", gap).groupBy("column").agg(F.max("gap").alias("d")))
+        best = best.unionByName(within).groupBy("column").agg(F.max("d").alias("d"))
+    return sizes.join(best, "column").select(
+        "column", "ordinal", "n_ref", "n_cur", "d", (F.col("s_ref") / F.col("n_ref")).alias("ref_mean"),
+        (F.col("s_cur") / F.col("n_cur")).alias("cur_mean"))
 
 
 def asymptotic_p(d: Column, n: Column, m: Column) -> Column:
@@ -84,12 +127,10 @@ def asymptotic_p(d: Column, n: Column, m: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def exact_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Exact two-sided probability by counting lattice paths.  Called on one row
-    per column and only where n * m is at most EXACT_PRODUCT."""
+    """Exact two-sided probability by counting lattice paths, on one row per column.  It takes
+    steps in proportion to n * m, so it is for small samples."""
 
-    def one(stat: float, a: int, b: int) -> float | None:
-        if a * b > EXACT_PRODUCT:
-            return None
+    def one(stat: float, a: int, b: int) -> float:
         limit = round(stat * a * b)
         # share of paths from (0,0) to (i,j) that stay below the observed distance
         row = [1.0]
@@ -105,22 +146,17 @@ def exact_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([one(float(x), int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
 
 
-def ks_test(pairs: DataFrame, exact_small: bool = False) -> DataFrame:
+def ks_test(pairs: DataFrame, method: str = "asymptotic") -> DataFrame:
     """ks_statistic plus p-value, decision and severity.
 
-    ``exact_small`` replaces the series by the exact count where the two samples
-    are small; ``p_method`` says which one was used.
+    ``method``: "asymptotic" takes the limit series, "exact" counts lattice paths; the
+    caller chooses, ``p_method`` repeats the choice.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
     stats = ks_statistic(pairs)
-    series = asymptotic_p(F.col("d"), F.col("n_cur"), F.col("n_ref"))
-    if exact_small:
-        small = F.col("n_cur") * F.col("n_ref") <= EXACT_PRODUCT
-        stats = (stats.withColumn("_exact", exact_p("d", "n_cur", "n_ref"))
-                 .withColumn("p", F.when(small, F.col("_exact")).otherwise(series))
-                 .withColumn("p_method", F.when(small, "exact").otherwise("asymptotic"))
-                 .drop("_exact"))
-    else:
-        stats = stats.withColumn("p", series).withColumn("p_method", F.lit("asymptotic"))
+    p = exact_p("d", "n_cur", "n_ref") if method == "exact" else asymptotic_p(F.col("d"), F.col("n_cur"), F.col("n_ref"))
+    stats = stats.withColumn("p", p).withColumn("p_method", F.lit(method))
     drift = (F.col("p") < ALPHA) & (F.col("d") >= D_THRESHOLD)
     return stats.withColumn("is_drift", drift).withColumn(
         "severity", F.when(drift, F.when(F.col("d") > D_HIGH, "HIGH").otherwise("MEDIUM")))

@@ -558,6 +558,24 @@ _ODD = list(enumerate(ORDER_NUMBERS))
 SQL["ks_pvalue"] = f"""WITH {ks('k', long_form('(SELECT * FROM orders WHERE o_orderkey % 2 = 1)', _ODD),
                                long_form('(SELECT * FROM orders WHERE o_orderkey % 2 = 0)', _ODD))}
 SELECT "column", round(d, 4) AS ks_statistic, round(p, 6) AS p_value, is_drift FROM k_d"""
+SQL["ks_narrow_range"] = f"""WITH ev AS (SELECT event_id, epoch_us(ts) AS "at" FROM events),
+{ks('k', "SELECT 'at' AS " + '"column", 0 AS ordinal, CAST("at" AS DOUBLE) AS value FROM ev WHERE event_id % 2 = 1',
+    "SELECT 'at' AS " + '"column", 0 AS ordinal, CAST("at" AS DOUBLE) AS value FROM ev WHERE event_id % 2 = 0 AND event_id % 3 > 0')}
+SELECT "column", n_ref, n_cur, round(d, 4) AS ks_statistic, round(p, 6) AS p_value FROM k_d"""
+_SUPPLIERS = [(0, "s_acctbal")]
+SQL["ks_pvalue_exact"] = f"""WITH RECURSIVE {ks('k',
+    long_form('(SELECT * FROM supplier WHERE s_nationkey % 5 = 0)', _SUPPLIERS),
+    long_form('(SELECT * FROM supplier WHERE s_nationkey % 5 = 1)', _SUPPLIERS))},
+x AS (SELECT n_cur AS a, n_ref AS b, round(d * n_cur * n_ref) AS lim FROM k_d),
+w AS (SELECT 0 AS i, list_reduce(list_transform(range(1, b + 1), lambda j: [j::DOUBLE]), lambda acc, e:
+        list_append(acc, CASE WHEN e[1] * a < lim THEN acc[-1] ELSE 0.0 END), [1.0::DOUBLE]) AS line, a, b, lim FROM x
+  UNION ALL
+  SELECT i + 1, list_reduce(list_transform(range(1, b + 1), lambda j: [j::DOUBLE, line[j + 1]]), lambda acc, e:
+        list_append(acc, CASE WHEN abs((i + 1) * b - e[1] * a) < lim
+          THEN (e[2] * (i + 1) + acc[-1] * e[1]) / (i + 1 + e[1]) ELSE 0.0 END),
+        [CASE WHEN (i + 1) * b < lim THEN line[1] ELSE 0.0 END]), a, b, lim FROM w WHERE i < a)
+SELECT "column", n_cur, n_ref, round(d, 6) AS ks_statistic,
+  round(least(1.0, greatest(0.0, 1.0 - (SELECT line[-1] FROM w WHERE i = a))), 6) AS p_value, 'exact' AS p_method FROM k_d"""
 SQL["drift_findings"] = f"""{EVENT_KS} SELECT "column" AS column_name, severity, message,
   CAST(json_object('column', "column", 'ks_statistic', round(d, 4), 'p_value', printf('%.6f', p),
        'alpha_threshold', CAST(0.05 AS DOUBLE), 'd_threshold', CAST(0.1 AS DOUBLE),

@@ -483,6 +483,24 @@ def ks_pvalue(spark, sf):
     return drift.ks_result(drift.ks_test(pairs)).select("column", "ks_statistic", "p_value", "is_drift")
 
 
+@query
+def ks_pvalue_exact(spark, sf):
+    """Exact p-values of small samples: balances of the suppliers of two groups of nations."""
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_acctbal")
+    pairs = drift.paired_counts(s.where("s_nationkey % 5 = 0"), s.where("s_nationkey % 5 = 1"), ["s_acctbal"])
+    return drift.ks_test(pairs, "exact").select("column", "n_cur", "n_ref", F.round("d", 6).alias("ks_statistic"),
+                                                F.round("p", 6).alias("p_value"), "p_method")
+
+
+@query
+def ks_narrow_range(spark, sf):
+    """Epoch microseconds of one month: values in a narrow range far from zero."""
+    e = table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    pairs = drift.paired_counts(e.where("event_id % 2 = 1").select("at"),
+                                e.where("event_id % 2 = 0 AND event_id % 3 > 0").select("at"), ["at"])
+    return drift.ks_result(drift.ks_test(pairs)).select("column", "n_ref", "n_cur", "ks_statistic", "p_value")
+
+
 @query
 def drift_findings(spark, sf):
     current, reference = scaled_events(spark, sf)

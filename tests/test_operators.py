@@ -130,8 +130,9 @@ def test_ks_equals_brute_force(spark, seed):
     a = np.round(rng.normal(0, 1, 700), seed)        # few digits: ties
     b = np.where(rng.random(400) < 1 / 3, 0.5, np.round(rng.normal(0.3, 2, 400), seed))
     df = [spark.createDataFrame([(float(v),) for v in s], "x double").repartition(3) for s in (a, b)]
-    r = one(drift.ks_statistic(drift.paired_counts(*df)))
-    assert r.d == pytest.approx(brute_ks(a, b), abs=1e-12)
+    for size in (1, 20, 100_000):  # parts cut again and again, a few times, not at all
+        r = one(drift.ks_statistic(drift.paired_counts(*df), size))
+        assert r.d == pytest.approx(brute_ks(a, b), abs=1e-12)
     assert one(drift.ks_statistic(drift.paired_counts(df[0], df[0]))).d == 0
 
 
@@ -139,7 +140,7 @@ def test_ks_decision_and_exact_p(spark):
     rng = np.random.default_rng(42)
     a, b = rng.normal(10, 1, 60), rng.normal(25, 1, 60)
     cur, ref = (spark.createDataFrame([(float(v),) for v in s], "metric double") for s in (b, a))
-    r = one(drift.ks_test(drift.paired_counts(cur, ref), exact_small=True))
+    r = one(drift.ks_test(drift.paired_counts(cur, ref), method="exact"))
     assert r.d > 0.5 and r.p < 0.001 and r.is_drift and r.severity == "HIGH" and r.p_method == "exact"
     # three against three: complete separation has probability 2 / C(6, 3)
     fn = drift.exact_p.func
