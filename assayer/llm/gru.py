@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from assayer.llm.common import LOWER, in_slices, remainder5
 from assayer.session import written
 
-HIDDEN = 16
+HIDDEN = 12
 CLASSES = 32
 MEMBERS = 32
 BUCKETS = 63
@@ -47,8 +47,8 @@ END = BUCKETS
 #: The end of a text in the table of counts; words hold no white space.
 END_WORD = "\n"
 LISTED = 200_000
-LANES, STEPS = 256, 16
-RATE = 0.08
+LANES, STEPS = 512, 16
+RATE = 0.12
 #: Shares of the training documents by round; together all of them.
 ROUNDS = (0.125, 0.375, 0.5)
 CHUNK = 1024
@@ -129,8 +129,8 @@ class Network:
             back = e @ self.p["classes"].T
             grads["members"], grads["member_bias"] = np.zeros((CLASSES, HIDDEN, MEMBERS), np.float32), np.zeros(
                 (CLASSES, MEMBERS), np.float32)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # short numbers are sorted by radix
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
         for c in range(CLASSES):
             own = order[cuts[c]:cuts[c + 1]]
             if not len(own):
@@ -175,8 +175,10 @@ class Network:
         for name, g in grads.items():
             self._step(name, slice(None), g * scale, rate)
         flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
+        order = np.argsort(flat.astype(np.int16), kind="stable")
+        count = np.bincount(flat, minlength=SYMBOLS)
+        used = np.flatnonzero(count)
+        first = np.cumsum(count[used]) - count[used]
         self._step("inputs", used, np.add.reduceat(da.reshape(-1, 3 * k)[order], first, axis=0) * scale, rate)
         return last
 
@@ -212,7 +214,9 @@ class Vocabulary:
     def codes(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Number of each token (a rare word: minus one minus its bucket), end included; rare words."""
         words = words_of(text)
-        codes = np.array([*map(self.index.get, words, repeat(-1)), len(self.count) - 1], dtype=np.int32)
+        codes = np.empty(len(words) + 1, dtype=np.int32)
+        codes[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        codes[-1] = len(self.count) - 1
         rare = np.flatnonzero(codes < 0).tolist()
         if rare:
             codes[rare] = [-1 - bucket(words[i]) for i in rare]

@@ -35,7 +35,7 @@ def test_gradient(net):
     net._step = lambda name, rows, g, rate: steps.__setitem__(name, (rows, g * x.size))
     net.learn(x, h)
     for name, at in (("state", (3, 20)), ("state", (1, 2)), ("classes", (2, 5)), ("class_bias", (4,)),
-                     ("members", (int(x[0, 0]) // gru.MEMBERS, 4, 7)), ("inputs", (int(x[1, 0]), 37))):
+                     ("members", (int(x[0, 0]) // gru.MEMBERS, 4, 7)), ("inputs", (int(x[1, 0]), 3 * gru.HIDDEN - 3))):
         rows, g = steps[name]
         got = g[at] if name != "inputs" else g[np.searchsorted(rows, at[0]), at[1]]
         p, e = net.p[name], 1e-3
