@@ -86,8 +86,8 @@ def links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
     if not 1 <= bits <= 3:
         raise ValueError("halves promise one differing bit only up to three")
     # a fingerprint becomes 66 keys: dealt out first, so that the few bytes of fingerprints
-    # are not made into keys by a few tasks
-    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # are not made into keys by a few tasks (by another hash, or it would be optimised away)
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     rows = dealt.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("low"))
     pairs, width = [], 64
     while True:
