@@ -7,9 +7,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.functions.expr import long_numbers, measured_columns, num, row_id
+from assayer.functions.expr import ident, literal, long_numbers, measured_columns, num, numbers_of, row_id
 from assayer.operators.findings import as_findings
 from assayer.operators.quantiles import column_summary
+from assayer.session import written
 
 # fixed values
 Z_THRESHOLD, IQR_MULTIPLIER = 3.0, 1.5
@@ -19,6 +20,9 @@ PLAIN_PCT, PLAIN_COUNT = 5.0, 3
 HIGH_PCT, HIGH_MAX_Z, MEDIUM_PCT = 15.0, 6.0, 7.0
 EVIDENCE_ROWS, CHART_ROWS = 5, 40
 
+# Columns per counting scan, so that the generated code stays within what is compiled.
+_COUNT_CHUNK = 24
+
 
 def outlier_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics of the columns that can be tested: at least 5 numbers, not
@@ -76,15 +80,24 @@ def outlier_measures(df: DataFrame, columns: Sequence[str] | None = None,
                      extra_identifiers: Iterable[str] = ()) -> DataFrame:
     """Unrounded summary per testable column; the counting pass runs without a row shuffle."""
     columns = tested_columns(df, columns, extra_identifiers)
-    stats = outlier_stats(df, columns)
-    values = long_numbers(df, columns).select("column", "value")
-    carried = [c for c in stats.columns if c != "column"]
-    # the statistics ride along, so they are worked out once
-    return (values.join(F.broadcast(stats), "column")
-            .groupBy("column").agg(
-                *[F.first(c).alias(c) for c in carried],
-                F.count_if(_z() > Z_THRESHOLD).alias("z_outlier_count"),
-                F.count_if(_outside()).alias("iqr_outlier_count"))
+    stats = written(outlier_stats(df, columns), "outliers")
+    # a row per column of the table: its numbers become part of the one scan that counts
+    known = stats.select("column", "mean", "std", "lower_fence", "upper_fence").orderBy("ordinal").collect()
+    counted = None
+    for start in range(0, len(known), _COUNT_CHUNK):
+        some = known[start:start + _COUNT_CHUNK]
+        counts, rows = [], []
+        for i, r in enumerate(some):
+            x, mean, std, low, high = ident(r["column"]), *(f"double('{v!r}')" for v in r[1:])
+            counts += [F.expr(f"count_if(abs(({x} - {mean}) / {std}) > {Z_THRESHOLD}D) as z{i}"),
+                       F.expr(f"count_if({x} < {low} or {x} > {high}) as q{i}")]
+            rows.append(f"struct({literal(r['column'])} as column, z{i} as z_outlier_count, q{i} as iqr_outlier_count)")
+        part = numbers_of(df, [r["column"] for r in some]).agg(*counts).select(F.expr(f"inline(array({', '.join(rows)}))"))
+        counted = part if counted is None else counted.unionByName(part)
+    if counted is None:
+        none = F.lit(0).cast("long")
+        counted = stats.select("column", none.alias("z_outlier_count"), none.alias("iqr_outlier_count"))
+    return (stats.join(counted, "column")
             .withColumn("outlier_percentage",
                         F.round(F.col("iqr_outlier_count") / F.col("n") * 100, 2))
             .withColumn("is_skewed", F.abs("skewness") > SKEW_LIMIT))
