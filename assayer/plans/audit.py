@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.expr import recovery_identifier
 from assayer.operators.drift import drift_findings
-from assayer.operators.findings import union_findings
+from assayer.operators.causes import recommendations, root_cause_candidates, root_cause_patterns
+from assayer.operators.findings import evidence_items, union_findings
 from assayer.operators.forest import ForestModel, forest_findings
 from assayer.operators.outliers import outlier_findings
 from assayer.operators.quality import duplicate_findings, empty_findings, missing_findings
@@ -45,6 +46,26 @@ def plan_recovery(df: DataFrame, findings: DataFrame, order_key: str) -> DataFra
     return propose_actions(findings, values)
 
 
+def dossier(findings: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(section, position, item, subject, text): evidence, causes, recommendations and actions
+    that follow from the findings of one audit, such as a stored one."""
+    causes = root_cause_candidates(findings).unionByName(
+        root_cause_patterns(findings), allowMissingColumns=True)
+    recs = recommendations(findings).withColumn("n", F.substring("rec_id", 5, 9).cast("int"))
+    actions = propose_actions(findings, values)
+
+    def part(name, rows, position, item, subject, text):
+        return rows.select(F.lit(name).alias("section"), position.cast("int").alias("position"), item.alias("item"),
+                           subject.alias("subject"), text.alias("text"))
+
+    return (part("evidence", evidence_items(findings), F.col("position"), F.col("evidence_id"), F.col("finding_type"),
+                 F.col("message"))
+            .unionByName(part("cause", causes, F.col("cause_order"), F.col("level"), F.col("cause"), F.col("evidence")))
+            .unionByName(part("recommendation", recs, F.col("n"), F.col("rec_id"), F.col("target_column"), F.col("title")))
+            .unionByName(part("action", actions, F.col("position"), F.col("action_id"), F.col("target"),
+                              F.col("estimated_impact"))))
+
+
 def recover(df: DataFrame, *, keys: Sequence[str], role: str = "ADMIN",
             expected: DataFrame | None = None, reference: DataFrame | None = None,
             target: str | None = None, **options) -> dict[str, DataFrame | None]:

@@ -220,6 +220,7 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY stage, ordinal, column_name N
 SQL["io_read_parquet"] = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
 SQL["io_csv_roundtrip"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents"
 SQL["io_json_roundtrip"] = "SELECT conv_id, turn, role, text FROM conversations"
+SQL["io_json_array"] = SQL["io_json_wrapped"] = SQL["io_json_roundtrip"]
 SQL["io_drop_blank_rows"] = "SELECT * FROM customer WHERE c_custkey % 10 <> 0"
 SQL["limit_rows"] = "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 100"
 SQL["table_fingerprint"] = """
@@ -861,6 +862,15 @@ act AS (SELECT rn, 'ACT-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS action_id, act
   CASE WHEN action_type = 'IMPUTE_DEFAULT_VALUE' THEN (SELECT v FROM md) END AS impute_value FROM ac),
 gt AS (SELECT *, risk_level = 'HIGH' OR policy_status = 'REQUIRES_OPERATOR_APPROVAL' AS risky FROM act)"""
 SQL["propose_actions"] = f"""{ACTIONS} SELECT * EXCLUDE (rn) FROM act"""
+SQL["audit_dossier_parts"] = CAUSES + ACTIONS[len(FINDINGS):] + SQL["recommendations"][
+    len(FINDINGS):SQL["recommendations"].index("SELECT 'REC-'")] + ", rc AS (" + SQL["recommendations"][
+    SQL["recommendations"].index("SELECT 'REC-'"):] + """)
+SELECT 'evidence' AS section, CAST(position AS INTEGER) AS position, 'E' || position AS item, finding_type AS subject,
+  message AS text FROM numbered UNION ALL
+SELECT 'cause', cause_order, level, cause, evidence FROM ca UNION ALL
+SELECT 'cause', cause_order, 'CROSS_FINDING_SYNTHESIS', cause, evidence FROM cp UNION ALL
+SELECT 'recommendation', CAST(rec_id[5:] AS INTEGER), rec_id, target_column, title FROM rc UNION ALL
+SELECT 'action', CAST(rn AS INTEGER), action_id, target, estimated_impact FROM act"""
 SQL["plan_policy"] = f"""{ACTIONS} SELECT count(*) AS candidate_count,
   CASE WHEN bool_or(risk_level = 'HIGH') THEN 'REQUIRES_APPROVAL' ELSE 'READY_FOR_EXECUTION' END AS overall_policy,
   count(*) FILTER (WHERE policy_status = 'REQUIRES_OPERATOR_APPROVAL') AS requires_approval_count FROM act"""

@@ -56,6 +56,26 @@ def io_json_roundtrip(spark, sf):
     return readers.read_json(spark, path, lines=True)
 
 
+def json_documents(spark, sf, begin, end):
+    """Folder of JSON documents, each with the turns of 200 conversations."""
+    path = _scratch(spark, "json-documents")
+    row = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    (table(spark, sf, "conversations").groupBy(F.floor(F.col("conv_id") / 200).alias("part"))
+     .agg(F.concat(F.lit(begin), F.concat_ws(",\n", F.collect_list(row)), F.lit(end)).alias("value"))
+     .write.partitionBy("part").text(path))
+    return os.path.join(path, "*")
+
+
+@query
+def io_json_array(spark, sf):
+    return readers.read_json(spark, json_documents(spark, sf, "[", "]"), lines=False)
+
+
+@query
+def io_json_wrapped(spark, sf):
+    return readers.read_json(spark, json_documents(spark, sf, '{"data": [', "]}"), lines=False)
+
+
 @query
 def io_drop_blank_rows(spark, sf):
     c = table(spark, sf, "customer")
@@ -936,6 +956,16 @@ def dashboard_totals(spark, sf):
     return history.dashboard_totals(*stored_history(spark, sf), etl_runs(spark, sf))
 
 
+@query
+def audit_dossier_parts(spark, sf):
+    """What follows from a stored audit, read back from the store."""
+    store = stores.Store(spark, _scratch(spark, "store"))
+    df = faulted_lineitem(spark, sf)
+    name = store.save_inspection("lineitem", df, line_findings(spark, sf), "2024-01-01 00:00:00")
+    fillable = [c for c in df.columns if not X.recovery_identifier(c)]
+    return plans.dossier(store.audit_findings(name), recovery.impute_values(df, fillable, "l_orderkey"))
+
+
 @query
 def audit_dossier(spark, sf):
     """The latest audit, and the latest one of those that found something."""

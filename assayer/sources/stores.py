@@ -16,12 +16,13 @@ from pyspark.sql import types as T
 
 from assayer.functions.expr import ident
 from assayer.functions.signing import canonical_record, hmac_sha256
-from assayer.operators.findings import audit_status
+from assayer.operators.findings import FINDING_SCHEMA, audit_status
 from assayer.operators.quality import quality_score
 from assayer.session import written
 
 
-FINDING_COLUMNS = ("finding_type", "column_name", "severity", "message", "affected_count", "affected_pct", "evidence")
+FINDING_COLUMNS = ("finding_type", "column_name", "severity", "message", "affected_count", "affected_pct", "evidence",
+                   "stage", "ordinal", "expected_type", "actual_type")
 FINDING_TYPE = "array<struct<" + ", ".join(f"{c}: string" for c in FINDING_COLUMNS) + ", created_order: int>>"
 PROOF_COLUMNS = ("method", "column_name", "status", "flagged_count")
 PROOF_TYPE = "array<struct<method: string, column_name: string, status: string, flagged_count: bigint>>"
@@ -181,6 +182,12 @@ class Store:
         found = self._inspections()
         return found if found is None else found.select("inspection_id", F.inline("findings"))
 
+    def audit_findings(self, inspection_id: str) -> DataFrame:
+        """The findings of one inspection in the form in which an audit gives them."""
+        rows = self.findings().where(F.col("inspection_id") == inspection_id)
+        return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in (
+            part.rsplit(" ", 1) for part in FINDING_SCHEMA.split(", "))])
+
     def proofs(self) -> DataFrame | None:
         """Proofs of all inspections, each with the finding that it supports, if there is one."""
         found = self._inspections()
