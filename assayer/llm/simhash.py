@@ -34,6 +34,8 @@ BITS = 3
 SEED = 42
 #: Fingerprints under one key beyond which the key is refined.  Results do not depend on it.
 BUCKET = 1024
+#: A fingerprint of more than this share (one in so many) of the rows is joined by broadcast.
+HOT = 1000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -117,14 +119,21 @@ def links(prints: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFram
 def clusters(docs: DataFrame, bits: int = BITS, bucket: int = BUCKET, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs``."""
     prints = written(with_fingerprints(docs.select("doc_id", text), text, "fp").select("doc_id", "fp"), "prints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "first")
     roots = components(written(links(first.select("fp"), bits, bucket), "links"), "a", "b")
     # only fingerprints with links meet a component; the rest name themselves
     linked = first.join(roots, first.fp == roots.node).select("fp", "first", "root")
     named = linked.groupBy("root").agg(F.min("first").alias("least"))
     of = linked.join(named, "root").select("fp", "least")
-    names = first.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = written(first.join(of, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "names")
+    # fingerprints that hold more than a thousandth of the rows: fewer than a thousand, so they
+    # can go to every task, and their rows need not meet in one
+    rows = first.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(names.where(F.col("n") * HOT > rows).select("fp", "component_id"))
+    seldom = names.where(F.col("n") * HOT <= rows).select("fp", "component_id")
+    hot = prints.join(often, "fp")
+    rest = prints.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp")
+    return hot.unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -81,7 +81,9 @@ def test_components(spark):
     assert components(df.limit(0), "s", "t").count() == 0
 
 
-def test_rows(spark):
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)  # no fingerprint is often, some are, all are
     texts = [(5, "a b c d"), (3, "A B  c d"), (3, "A B  c d"), (None, "a b c d"), (9, None), (8, ""), (7, "alone here"),
              (None, "only null id here"), (None, "only null id here")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, fp int")
