@@ -962,6 +962,27 @@ SELECT CASE WHEN n1 = 0 THEN 'PASS' WHEN severe = 0 AND n1 < n0 THEN 'PARTIAL_PA
   round(greatest(0, n0 - n1) / n0 * 100, 2) AS anomaly_reduction_rate_pct, r0 AS original_row_count,
   r1 AS remediated_row_count, r1 - r0 AS row_delta FROM a, b, r"""
 
+_AFTER = at(ORDER_NUMBERS, ORDER_COLUMNS)
+SQL["recovery_log"] = f"""WITH {FO}, {measures('o', 'fo', _AFTER)},
+b1 AS (SELECT * FROM fo WHERE o_custkey IS NOT NULL),
+b3 AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+  coalesce(o_totalprice, (SELECT round_even(quantile_cont(o_totalprice, 0.5), 2) FROM fo)) AS o_totalprice, o_orderdate,
+  CASE WHEN {KNOWN} THEN o_orderpriority ELSE {order_mode('fo', 'o_orderpriority')} END AS o_orderpriority FROM b1),
+b4 AS (SELECT DISTINCT * FROM b3),
+b5 AS (SELECT b4.* FROM b4, {fence('b4', 'o_totalprice')}
+  WHERE o_totalprice BETWEEN lo AND hi OR NOT EXISTS (SELECT 1 FROM o_f WHERE "column" = 'o_totalprice')),
+{measures('p', 'b5', _AFTER)},
+bf AS (SELECT (SELECT count(*) FROM ({missing_values('fo', ORDER_COLUMNS, 'o_orderkey')})) +
+  (SELECT count(*) FROM ({duplicates('fo', ', '.join(ORDER_COLUMNS))})) + (SELECT count(*) FROM o_f) AS n0),
+af AS (SELECT count(*) AS n1, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS severe FROM (
+  SELECT severity FROM ({missing_values('b5', ORDER_COLUMNS, 'o_orderkey')}) UNION ALL
+  SELECT severity FROM ({duplicates('b5', ', '.join(ORDER_COLUMNS))}) UNION ALL SELECT severity FROM p_f)),
+rc AS (SELECT (SELECT count(*) FROM fo) AS r0, (SELECT count(*) FROM b5) AS r1)
+SELECT CASE WHEN n1 = 0 THEN 'PASS' WHEN severe = 0 AND n1 < n0 THEN 'PARTIAL_PASS' ELSE 'FAIL' END AS verdict,
+  n0 AS before_finding_count, n1 AS after_finding_count, greatest(0, n0 - n1) AS resolved_finding_count,
+  round(greatest(0, n0 - n1) / n0 * 100, 2) AS anomaly_reduction_rate_pct, r0 AS original_row_count,
+  r1 AS remediated_row_count, r1 - r0 AS row_delta, 'orders' AS dataset_path FROM bf, af, rc"""
+
 # --- history ------------------------------------------------------------------------------------------------------------
 
 SQL["latest_audit"] = f"""{INSPECTIONS} SELECT inspection_id, dataset_path, status, highest_severity, row_count, finding_count

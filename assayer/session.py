@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +24,42 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in
-    ``spark.checkpoint.dir``.  Only a local session without it gets its own."""
+    """Folder for intermediate tables: that of the ``scratch`` block in force, else the one
+    the cluster names in ``spark.checkpoint.dir``.  Only a local session without it gets its own."""
+    if _scratch:
+        return _scratch[-1]
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="assayer-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str | None = None):
+    """A folder of its own for all intermediate tables of a block, removed at its end.
+
+    ``folder`` is a place that all executors share; by default the session's.  Frames
+    made inside read from it, so write the results that are to last before the block ends.
+    """
+    own = os.path.join(folder or shared_dir(spark), f"scratch-{uuid.uuid4().hex}")
+    _scratch.append(own)
+    try:
+        yield own
+    finally:
+        _scratch.remove(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write once under the shared folder and read back.
 

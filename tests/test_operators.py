@@ -241,6 +241,14 @@ def test_recover_keeps_what_it_sets_aside(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "repaired")).count() == 40 and done["log"].count() >= 2
 
 
+def test_scratch_folder_is_removed(spark, tmp_path):
+    from assayer.session import scratch, shared_dir, written
+    with scratch(spark, str(tmp_path)) as own:
+        assert shared_dir(spark) == own and written(spark.range(5)).count() == 5
+        assert len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir()) and shared_dir(spark) != own
+
+
 def test_outlier_steps_stay_linear(spark):
     """The plan of a chain of outlier steps does not multiply."""
     df = spark.range(2000).selectExpr("id", *[f"cast(if(id = {i}, 1e6, id % 50) as double) as v{i}" for i in range(4)])

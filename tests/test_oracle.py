@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as entry
 import check
 
-LONG = {"audit_findings", "propose_actions", "root_cause_patterns", "recommendations"}
 AUDITS = {
     "findings_by_severity", "findings_by_topic", "report_summary", "report_actions", "evidence_items",
     "evidence_status", "severity_distribution", "highest_severity", "audit_status", "finding_types",
