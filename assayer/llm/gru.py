@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from assayer.llm.common import LOWER, in_slices, remainder5
 from assayer.session import written
 
-HIDDEN = 12
+HIDDEN = 16
 CLASSES = 32
 MEMBERS = 32
 BUCKETS = 63
@@ -47,8 +47,8 @@ END = BUCKETS
 #: The end of a text in the table of counts; words hold no white space.
 END_WORD = "\n"
 LISTED = 200_000
-LANES, STEPS = 512, 16
-RATE = 0.12
+LANES, STEPS = 256, 16
+RATE = 0.08
 #: Shares of the training documents by round; together all of them.
 ROUNDS = (0.125, 0.375, 0.5)
 CHUNK = 1024

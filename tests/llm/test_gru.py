@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -119,3 +120,22 @@ def test_query(spark):
     same(got, docs)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_gain_of_the_network():
+    """One copy over sf0.01 gains what the network gains with its full size and update steps."""
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in rows]
+    learned = [r["text"] for r, h in zip(rows, held) if not h]
+    count = Counter(w for t in learned for w in gru.words_of(t))
+    sums = {}
+    for w, c in count.items():
+        tokens, kinds = sums.get(gru.bucket(w), (0, 0))
+        sums[gru.bucket(w)] = (tokens + c, kinds + 1)
+    vocab = gru.Vocabulary(sorted(count.items(), key=lambda x: (-x[1], x[0])), sums, sum(count.values()) + len(learned),
+                           len(count) + 1, len(learned))
+    symbols = [vocab.symbols(vocab.codes(r["text"])[0]) for r, h in zip(rows, held) if h]
+    net, size = gru.Network(vocab.mass), sum(map(len, symbols))
+    start = gru.score_texts(net, symbols).sum() / size
+    gru.train_copy(net, vocab, iter([learned]))
+    assert gru.score_texts(net, symbols).sum() / size - start > 0.02
