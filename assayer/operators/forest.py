@@ -150,10 +150,10 @@ def _samples(df: DataFrame, features: Sequence[str], medians: Sequence[float], r
              keys: Sequence[str], unique_keys: bool, trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, h, w, features...): a little more than a sample of rows per tree.
 
-    The pool is a filter on the hash of key and features, so the table is not
-    shuffled; only what it leaves is grouped.  A drawn row goes to as many trees as it takes to fill them:
+    With ``unique_keys`` the pool is a filter on the hash of key and features, so the table is not
+    shuffled.  Without, equal rows are counted first, on the map side, and drawn in proportion.  A drawn row goes to as many trees as it takes to fill them:
     about one in a large table, so that trees share few rows, and most of them in a small one.
-    Rows equal in key and features are drawn together; with ``unique_keys`` there are none.
+    Copies of a row are dealt to trees one by one.
     """
     pool = min(1.0, _POOL * trees * sample / rows)
     each = min(float(trees), _MARGIN * trees * sample / (rows * pool))
@@ -161,11 +161,16 @@ def _samples(df: DataFrame, features: Sequence[str], medians: Sequence[float], r
             for i, (c, m) in enumerate(zip(features, medians))]
     names = [f"f{i}" for i in range(len(features))]
     base = df.select(F.xxhash64(*[F.col(ident(k)) for k in keys], *full, F.lit(seed)).alias("h"), *full)
-    drawn = base.where(F.pmod("h", F.lit(_GRAIN)) < int(pool * _GRAIN))
     if unique_keys:
-        drawn = drawn.withColumn("w", F.lit(1))
+        drawn = base.where(F.pmod("h", F.lit(_GRAIN)) < int(pool * _GRAIN)).withColumn("w", F.lit(1))
     else:
-        drawn = drawn.groupBy("h", *names).agg(F.count(F.lit(1)).cast("int").alias("w"))
+        # of c equal rows c * pool are drawn, each with a hash of its own; no more in all than the pool
+        share = F.col("c") * F.lit(pool)
+        copies = F.floor(share) + F.when(F.pmod("h", F.lit(_GRAIN)) < F.floor((share - F.floor(share)) * _GRAIN), 1).otherwise(0)
+        drawn = (base.groupBy("h", *names).agg(F.count(F.lit(1)).alias("c")).withColumn("k", copies).where("k > 0")
+                 .select("h", *names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("j"))
+                 .select(F.when(F.col("j") == 1, F.col("h")).otherwise(F.xxhash64("h", "j")).alias("h"), *names)
+                 .withColumn("w", F.lit(1)))
     extra = f"if(pmod(xxhash64(h, 1), {_GRAIN}) / {_GRAIN}D < {each - math.floor(each)}D, 1, 0)"
     runs = f"""transform(sequence(1, {math.floor(each)} + {extra}),
                          j -> int(pmod(pmod(xxhash64(h, 2), {trees}) + j, {trees})))"""

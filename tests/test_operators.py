@@ -421,3 +421,13 @@ def test_unauthorised_requests(spark):
                                   "request_id string, action_id string, action_type string, target string")
     assert {r.request_id: r.validation for r in recovery.validate_actions(asked, cands).collect()} == {
         "1": "AUTHORIZED", "2": "AUTHORIZED", "3": "TYPE_MISMATCH", "4": "NOT_AUTHORIZED"}
+
+
+def test_forest_draws_equal_rows_in_proportion(spark):
+    """A row that is a third of the table is about a third of every tree's sample."""
+    from assayer.operators.forest import _samples
+    df = spark.range(3000).selectExpr("if(id < 1000, -1, id) as k", "double(if(id < 1000, -1, id)) as x")
+    drawn = _samples(df, ["x"], [0.0], 3000, ["k"], False, 10, 32, 42).groupBy("tree").agg(
+        F.sum("w").alias("n"), F.sum(F.expr("if(f0 = -1, w, 0)")).alias("same")).collect()
+    assert len(drawn) == 10
+    assert all(0.1 < r["same"] / r["n"] < 0.6 for r in drawn)
