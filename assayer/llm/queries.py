@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, chat, decontam, gru, packing, quality, simhash, tokencount, topk, urls
+from assayer.llm import (bpe, chat, decontam, gru, notices, packing, periodic, quality, simhash, tokencount, topk, urls,
+                         whitening)
 from assayer.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +119,21 @@ def op10_bpe_transducer(spark, sf):
     vocab = bpe.vocabulary(spark, public_tokenizers.path(MULTI_RANKS))
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return bpe.digests(bpe.round_trip(docs, vocab, public_tokenizers.PATTERN))
+
+
+@query
+def op11_fuzzy_notices(spark, sf):
+    """Licence notices in every document."""
+    return notices.report(table(spark, sf, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    """Periodic runs of words in every document."""
+    return periodic.report(table(spark, sf, "documents"))
+
+
+@query
+def op13_weighted_whitening(spark, sf):
+    """Whitened components of every vector."""
+    return whitening.report(table(spark, sf, "embeddings"))
