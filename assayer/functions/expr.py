@@ -222,7 +222,12 @@ def ordinals(df: DataFrame) -> dict[str, int]:
 
 
 def row_id(keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[quoted(k).cast("string") for k in keys])
+    r"""The key as text, one text a key: ``|`` and ``\`` inside a value are escaped, null is ``\N``."""
+    def part(k: str) -> Column:
+        text = F.replace(quoted(k).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+
+    return F.concat_ws("|", *[part(k) for k in keys])
 
 
 def numbers_of(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:

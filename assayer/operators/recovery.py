@@ -197,19 +197,23 @@ def split_duplicates(df: DataFrame, order_key: str | Sequence[str], normalise: s
     """(kept, removed): the first row of each group of equal rows, and its later copies.
 
     Only digests of rows are grouped, and counts of copies combine before the
-    shuffle.  Rows that have no copy pass by; of the others the first one is an
-    aggregate again, so a row that fills a third of the table is one partial row
-    per task.
+    shuffle.  Rows that have no copy pass by; the others are counted by content, so a
+    row that fills a third of the table is one partial row per task.  Copies are equal by
+    meaning, not by content: the removed rows are those that stood in the table.
     """
     keys = [order_key] if isinstance(order_key, str) else list(order_key)
     marked = df.withColumn("_digest", row_digest(df, normalise))
     several = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     single = marked.join(several, "_digest", "left_anti").drop("_digest")
-    copies = marked.join(several, "_digest").withColumn("_row", F.struct(*[quoted(c) for c in df.columns]))
-    order = F.struct(*[quoted(k) for k in keys])
-    groups = copies.groupBy("_digest").agg(F.min_by("_row", order).alias("_row"), F.first("_copies").alias("_copies"))
-    # copies are equal by meaning, so the removed ones are told by number
-    removed = groups.select("_row.*", F.explode(F.sequence(F.lit(2), F.col("_copies"))).alias("_copy")).drop("_copy")
+    copies = marked.join(several, "_digest").select("_digest", F.struct(*[quoted(c) for c in df.columns]).alias("_row"))
+    content = F.to_json("_row", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                                 "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    order = F.struct(*[F.col("_row")[k] for k in keys], content)
+    kinds = copies.groupBy("_digest", "_row").agg(F.count(F.lit(1)).alias("_n"))
+    groups = kinds.groupBy("_digest").agg(F.min_by("_row", order).alias("_row"), F.min(order).alias("_least"))
+    left = F.col("_n") - F.when(order == F.col("_least"), 1).otherwise(0)
+    removed = kinds.join(groups.select("_digest", "_least"), "_digest").withColumn("_left", left).where("_left > 0")
+    removed = removed.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("_left"))).alias("_copy")).drop("_copy")
     return single.unionByName(groups.select("_row.*")), removed
 
 

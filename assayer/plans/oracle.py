@@ -160,13 +160,16 @@ def forest_sql(model, table: str, keys) -> str:
         return (f"CASE WHEN {model.features[model.split[t][node]]} >= {at!r} THEN {walk(t, 2 * node + 2)} "
                 f"ELSE {low} END")
 
+    def part(key: str) -> str:
+        return rf"coalesce(replace(replace(CAST({key} AS VARCHAR), '\', '\\'), '|', '\|'), '\N')"
+
     trees = len(model.split)
     total = " + ".join(walk(t, 0) for t in range(trees))
-    return f"""fsc AS (SELECT *, concat_ws('|', {', '.join(keys)}) AS rid,
+    return f"""fsc AS (SELECT *, concat_ws('|', {', '.join(map(part, keys))}) AS rid,
   0.5 - pow(2.0, -(CAST({total} AS DOUBLE)) / {trees}) AS score FROM {table}),
 fth AS (SELECT count(*) AS n, avg(score) AS mean, min(score) AS low, least(-0.15, avg(score) - 3.5 * stddev_pop(score)) AS th
         FROM fsc),
-ff AS (SELECT fsc.* FROM fsc, fth WHERE score < -0.15 AND score < th)"""
+ff AS (SELECT * FROM fsc WHERE score < -0.15 AND score < (SELECT th FROM fth))"""
 
 
 FOREST = fixed_forest()

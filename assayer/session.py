@@ -25,7 +25,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: that of the ``scratch`` block in force, else the one
-    the cluster names in ``spark.checkpoint.dir``.  Only a local session without it gets its own."""
+    the cluster names in ``spark.checkpoint.dir``.  A local session without it gets one of its own, kept here:
+    the setting can't be changed while a session runs."""
     if _scratch:
         return _scratch[-1]
     configured = (spark.conf.get("spark.checkpoint.dir", None)
@@ -35,11 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="assayer-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="assayer-"))
+    return _local[0]
 
 
+_local: list[str] = []
 _scratch: list[str] = []
 
 

@@ -431,3 +431,40 @@ def test_forest_draws_equal_rows_in_proportion(spark):
         F.sum("w").alias("n"), F.sum(F.expr("if(f0 = -1, w, 0)")).alias("same")).collect()
     assert len(drawn) == 10
     assert all(0.1 < r["same"] / r["n"] < 0.6 for r in drawn)
+
+
+def test_row_ids_are_one_to_one(spark):
+    rows = [(None, "x"), ("x", None), ("a|b", "c"), ("a", "b|c"), ("", "x"), ("\\N", "x"), ("a\\", "|b"), ("a\\|", "b")]
+    df = spark.createDataFrame(rows, "k string, l string")
+    ids = {tuple(r)[:2]: r._rid for r in df.withColumn("_rid", X.row_id(["k", "l"])).collect()}
+    assert len(set(ids.values())) == len(rows) and one(spark.range(1).select(X.row_id(["id", "id"]).alias("r"))).r == "0|0"
+    flagged = df.where("k IS NULL OR k = 'a|b'").select(X.row_id(["k", "l"]).alias("_rid"))
+    kept, gone = recovery.quarantine_rows(df, flagged, ["k", "l"])
+    assert {tuple(r) for r in gone.collect()} == {(None, "x"), ("a|b", "c")} and kept.count() == len(rows) - 2
+
+
+def test_removed_copies_are_the_rows_that_were_there(spark):
+    rows = [("ORD 1", 1), ("ORD 1 ", 1), ("ORD 1 ", 1), ("ORD 2", 1), ("ORD 3", 1), ("ORD 3", 1)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    kept, gone = recovery.split_duplicates(df, ["k"])
+    assert sorted(map(tuple, kept.collect())) == [("ORD 1", 1), ("ORD 2", 1), ("ORD 3", 1)]
+    assert sorted(map(tuple, gone.collect())) == [("ORD 1 ", 1), ("ORD 1 ", 1), ("ORD 3", 1)]
+
+
+def test_session_without_a_folder():
+    """A local session that names no shared folder gets one, and keeps it."""
+    from assayer import session
+
+    class Plain:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "local[2]"
+            getConf = staticmethod(lambda: Plain.conf)
+            getCheckpointDir = staticmethod(lambda: None)
+    own = session.shared_dir(Plain)
+    assert own == session.shared_dir(Plain)
+    Plain.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        session.shared_dir(Plain)
