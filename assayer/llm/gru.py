@@ -392,9 +392,10 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, t
                                 "rare": [[w.decode() for w in r] for _, r in coded]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(text).alias("text"))
-                    .mapInPandas(run, f"rid long, doc_id {kind}, n_tokens long, known long, base double, total double, "
-                                      "rare array<string>"), "scored")
+    # ids travel as text: beside a null, pandas would make doubles of them
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string"), F.col(text).alias("text"))
+    first = written(own.mapInPandas(run, "rid long, doc_id string, n_tokens long, known long, base double, total double, "
+                                         "rare array<string>").withColumn("doc_id", F.col("doc_id").cast(kind)), "scored")
     rare = first.select("rid", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word", "left").groupBy(
         "rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("more"))
     return first.drop("rare").join(rare, "rid", "left").select(

@@ -23,6 +23,7 @@ import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from assayer.llm.bpe import _once
 
@@ -120,11 +121,12 @@ def pack(docs: DataFrame, vocab, *, length: int = LENGTH, group_chars: int = GRO
     end = max(vocab.value[1].values()) + 1
     kind = np.dtype("<u2" if end < 1 << 16 else "<u4")
     name = docs.schema["doc_id"].dataType.simpleString()
+    number = int if isinstance(docs.schema["doc_id"].dataType, IntegralType) else str
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rid")
         data = [np.frombuffer(b, dtype=kind) for b in rows["ids"]]
-        of = [None if pd.isna(i) else i for i in rows["doc_id"]]
+        of = [None if pd.isna(i) else number(i) for i in rows["doc_id"]]
         pieces = [(d, at, min(length, len(x) - at)) for d, x in enumerate(data) for at in range(0, len(x), length)]
         pieces.sort(key=lambda p: (-p[2], of[p[0]] is not None, of[p[0]] if of[p[0]] is not None else 0, p[0], p[1]))
         out = []
@@ -135,13 +137,15 @@ def pack(docs: DataFrame, vocab, *, length: int = LENGTH, group_chars: int = GRO
             for (d, at, size), to in zip(own, ends):
                 line[to:to + size] = data[d][at:at + size]
             out.append((f"{key[0]}-{n}", int(ends[-1]), line.tobytes(), ends.tolist(), ends[:-1].tolist(),
-                        [of[p[0]] for p in own], [p[1] for p in own]))
+                        [None if of[p[0]] is None else str(of[p[0]]) for p in own], [p[1] for p in own]))
         return pd.DataFrame(out, columns=["sequence", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids",
                                           "offsets"], dtype=object)
 
     coded = encode(docs.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid")), vocab)
-    return coded.select("doc_id", "rid", "ids", F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("g")).groupBy(
-        "g").applyInPandas(run, RESULT.format(name))
+    # ids travel as text: beside a null, pandas would make doubles of them
+    packed = coded.select(F.col("doc_id").cast("string"), "rid", "ids", F.pmod(F.xxhash64("rid"), F.lit(groups)).alias("g"))
+    return packed.groupBy("g").applyInPandas(run, RESULT.format("string")).withColumn(
+        "doc_ids", F.col("doc_ids").cast(f"array<{name}>"))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

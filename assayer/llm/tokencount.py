@@ -138,5 +138,7 @@ def count_tokens(docs: DataFrame, vocab, pattern: str, text: str = "text") -> Da
         yield from in_slices(batches, "text", work)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_pretokens long, n_tokens long, score double")
+    # ids travel as text: beside a null, pandas would make doubles of them
+    out = docs.select(F.col("doc_id").cast("string"), F.col(text).alias("text")).mapInPandas(
+        run, "doc_id string, n_pretokens long, n_tokens long, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -139,3 +139,9 @@ def test_gain_of_the_network():
     start = gru.score_texts(net, symbols).sum() / size
     gru.train_copy(net, vocab, iter([learned]))
     assert gru.score_texts(net, symbols).sum() / size - start > 0.02
+
+
+def test_large_ids_beside_null(spark):
+    docs = [((1 << 60) + 1, "a"), ((1 << 60) + 3, "b c"), (None, "d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    same(gru.report(df).collect(), docs)

@@ -80,3 +80,10 @@ def test_query(spark, data):
     enc, got = library(), back(entry.queries()["op3_best_fit_packing"](spark, data).collect(), packing.LENGTH)
     assert {d: [i for _, p in sorted(v) for i in p] for d, v in got.items()} == {
         d.doc_id: [*enc.encode_ordinary(d.text or ""), packing.END] for d in docs}
+
+
+def test_large_ids_beside_null(spark):
+    docs = spark.createDataFrame([((1 << 60) + 1, "a"), ((1 << 60) + 3, "b c"), (None, "d")], "doc_id long, text string")
+    out = packing.pack(docs.coalesce(1), bpe.vocabulary(spark, PATH), length=64)
+    assert out.schema["doc_ids"].dataType.simpleString() == "array<bigint>"
+    assert {d for r in out.collect() for d in r.doc_ids} == {(1 << 60) + 1, (1 << 60) + 3, None}

@@ -71,3 +71,10 @@ def test_query(spark, data, ranks):
             n += memo[w]
         want[d.doc_id] = n
     assert {r.doc_id: r.n_tokens for r in entry.queries()["op9_trie_counts"](spark, data).collect()} == want
+
+
+def test_large_ids_beside_null(spark, ranks):
+    docs = spark.createDataFrame([((1 << 60) + 1, "a"), ((1 << 60) + 3, "b c"), (None, "d")], "doc_id long, text string")
+    out = tokencount.count_tokens(docs.coalesce(1), bpe.vocabulary(spark, PATH), public_tokenizers.PATTERN)
+    assert out.schema["doc_id"].dataType.simpleString() == "bigint"
+    assert {r.doc_id for r in out.collect()} == {(1 << 60) + 1, (1 << 60) + 3, None}
