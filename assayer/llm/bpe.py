@@ -373,8 +373,9 @@ def decode_documents(docs: DataFrame, vocab, ids: str = "ids", into: str = "deco
     return docs.withColumn(into, decode(F.col(ids)))
 
 
-def digests(coded: DataFrame, ids: str = "coded.ids", decoded: str = "coded.decoded") -> DataFrame:
-    """Token count and digests of ids and of decoded text."""
+def digests(coded: DataFrame, ids: str = "coded.ids", decoded: str = "coded.decoded", keep_ids: bool = False) -> DataFrame:
+    """Token count and digests of ids and of decoded text, and on demand the ids (little-endian, four bytes each)."""
     return coded.select("doc_id", (F.length(ids) / 4).cast("long").alias("n_tokens"),
                         F.sha2(F.col(ids), 256).alias("ids_sha256"),
-                        F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"))
+                        F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"),
+                        *([F.col(ids).alias("ids")] if keep_ids else []))

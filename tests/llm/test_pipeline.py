@@ -5,44 +5,67 @@ import os
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from test_decontam import brute
-from test_simhash import classes, plain_print
+from test_nearcopies import kept
 
 import corpus_pipeline
 from assayer.llm import bpe, quality
 from assayer.llm.queries import MULTI_RANKS
 
 
-def test_stages(spark, data, tmp_path):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    results, inputs = [], []
+@pytest.fixture(scope="module")
+def stages(spark, data, tmp_path_factory):
+    """Input and result of each stage by name, both as lists of rows, and the columns of the result."""
+    docs, out = spark.read.parquet(f"{data}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        inputs.append(docs)
-        path = os.path.join(tmp_path, name)
+        path = os.path.join(tmp_path_factory.mktemp("stages"), name)
         stage(spark, docs, data).write.parquet(path)
-        docs = spark.read.parquet(path)
-        results.append(docs)
-    scored, deduped, clean, coded = results
-    for r in results[:3]:
-        assert r.columns == inputs[0].columns and 0 < r.count()
-    trees = quality.train(inputs[0], spark.read.parquet(f"{data}/labels.parquet"))
-    rows = {r.doc_id: r for r in inputs[0].collect()}
-    x = np.array([quality.statistics(r.text) for r in rows.values()])
-    assert {r.doc_id for r in scored.collect()} == {i for i, p in zip(rows, trees.score(x)) if p >= 0.3}
-    of = {r.doc_id: plain_print(r.text) for r in scored.collect()}
-    root = classes(sorted(of), lambda a, b: bin(of[a] ^ of[b]).count("1") <= 3)
-    assert sorted(r.doc_id for r in deduped.collect()) == sorted(i for i in root if root[i] == i)
-    left = deduped.collect()
-    found = {r.doc_id: brute(r.text, bench, 13) for r in left if any(w in r.text for w in ("a", "e"))}
-    bad = {i for i, (n, hit, _) in found.items() if hit and 20 * hit >= n}
-    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in left} - bad
-    assert all(tuple(rows[r.doc_id]) == tuple(r) for r in clean.collect())
+        before, docs = docs, spark.read.parquet(path)
+        out[name] = before.collect(), docs.collect()
+        if name != "byte_bpe":
+            assert docs.columns == before.columns
+    return out
+
+
+def test_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontam", "byte_bpe"]
+
+
+def test_quality(spark, data, stages):
+    before, after = stages["quality"]
+    trees = quality.train(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    scores = trees.score(np.array([quality.statistics(r.text) for r in before]))
+    assert 0 < len(after) < len(before)
+    assert sorted(after) == sorted(r for r, p in zip(before, scores) if p >= 0.3)
+
+
+def test_near_dedup(stages):
+    before, after = stages["near_dedup"]
+    want = set(kept([(r.doc_id, r.text) for r in before]))
+    assert 0 < len(want) < len(before)
+    assert sorted(after) == sorted(r for r in before if r.doc_id in want)
+
+
+def test_decontam(data, spark, stages):
+    before, after = stages["decontam"]
+    bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    found = [brute(r.text, bench, 13) for r in before]
+    bad = [bool(hit) and 20 * hit >= n for n, hit, _ in found]
+    assert 0 < len(after)
+    assert sorted(after) == sorted(r for r, b in zip(before, bad) if not b)
+
+
+def test_byte_bpe(stages):
+    before, after = stages["byte_bpe"]
     enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, special_tokens={},
                             mergeable_ranks=bpe.read_ranks(public_tokenizers.path(MULTI_RANKS)))
-    ids = {r.doc_id: np.array(enc.encode_ordinary(r.text), "<u4").tobytes() for r in clean.collect()}
-    assert {r.doc_id: r.ids_sha256 for r in coded.collect()} == {i: hashlib.sha256(b).hexdigest() for i, b in ids.items()}
+    ids = {r.doc_id: np.array(enc.encode_ordinary(r.text or ""), "<u4").tobytes() for r in before}
+    assert {r.doc_id: r.ids for r in after} == ids and len(after) == len(before)
+    assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in after)
+    text = {r.doc_id: (r.text or "").encode() for r in before}
+    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id]).hexdigest() for r in after)
 
 
 def test_odd_rows(spark, data):
@@ -56,4 +79,4 @@ def test_odd_rows(spark, data):
         for _, stage in corpus_pipeline.STAGES:
             before, now = now, stage(spark, now, data)
             assert now.count() <= before.count()
-        assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
