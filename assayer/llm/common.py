@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,24 @@ def in_slices(batches: Iterator[pd.DataFrame], text: str, work: Callable[[pd.Dat
             yield work(batch.iloc[a:b])
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Arrow batches of about ``size`` for what is run (not only planned) in the block.
+
+    A batch of long texts is held several times over, in the JVM, in Arrow and in pandas, by
+    each task of an executor at once; how it is cut does not change a result.
+    """
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def remainder5(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))
