@@ -45,10 +45,15 @@ def missing_counts(df: DataFrame, order_key: str | None = None) -> DataFrame:
 
 def missing_values(df: DataFrame, order_key: str | None = None) -> DataFrame:
     """One row per column with missing cells, in order of the first affected row."""
+    return missing_of(missing_counts(df, order_key))
+
+
+def missing_of(counts: DataFrame) -> DataFrame:
+    """``missing_values`` of the counts of a table, or of those of several tables added up."""
     pct = F.col("missing_count") / F.col("total_rows") * 100
     # one row per column of the table, so the window stays tiny
     first = Window.orderBy(F.col("first_key").asc_nulls_first(), "ordinal")
-    return (missing_counts(df, order_key).where(F.col("missing_count") > 0)
+    return (counts.where(F.col("missing_count") > 0)
             .select("column", "missing_count", "total_rows",
                     F.round(pct, 2).alias("missing_percentage"),
                     ladder(pct, MISSING_STEPS, "LOW").alias("severity"),
@@ -56,9 +61,12 @@ def missing_values(df: DataFrame, order_key: str | None = None) -> DataFrame:
 
 
 def missing_findings(df: DataFrame, order_key: str | None = None) -> DataFrame:
-    m = missing_values(df, order_key)
+    return missing_findings_of(missing_counts(df, order_key))
+
+
+def missing_findings_of(counts: DataFrame) -> DataFrame:
     return as_findings(
-        m, stage=1, ordinal=F.col("position"), finding_type=F.lit("MISSING_VALUES"),
+        missing_of(counts), stage=1, ordinal=F.col("position"), finding_type=F.lit("MISSING_VALUES"),
         column=F.col("column"), severity=F.col("severity"),
         message=F.format_string("Column '%s' contains %d missing value(s).", "column", "missing_count"),
         count=F.col("missing_count"), pct=F.col("missing_percentage"),
@@ -94,22 +102,35 @@ def row_digest(df: DataFrame, normalise: str = "string") -> Column:
 
 def duplicate_counts(df: DataFrame, normalise: str = "string") -> DataFrame:
     """One row (total_rows, duplicate_count); digests travel, and copies combine before the shuffle."""
-    return (df.groupBy(row_digest(df, normalise).alias("digest")).agg(F.count(F.lit(1)).alias("copies"))
+    return duplicate_totals(df.groupBy(row_digest(df, normalise).alias("digest")).agg(F.count(F.lit(1)).alias("copies")))
+
+
+def duplicate_totals(copies: DataFrame) -> DataFrame:
+    """(total_rows, duplicate_count) of rows with a column ``copies``, one row a digest."""
+    return (copies
             .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
                  F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_count")))
 
 
 def duplicate_records(df: DataFrame, normalise: str = "string") -> DataFrame:
+    return duplicates_of(duplicate_counts(df, normalise))
+
+
+def duplicates_of(totals: DataFrame) -> DataFrame:
     pct = F.col("duplicate_count") / F.col("total_rows") * 100
-    return (duplicate_counts(df, normalise).where(F.col("duplicate_count") > 0)
+    return (totals.where(F.col("duplicate_count") > 0)
             .select("duplicate_count", "total_rows",
                     F.round(pct, 2).alias("duplicate_percentage"),
                     ladder(pct, DUPLICATE_STEPS, "LOW").alias("severity")))
 
 
 def duplicate_findings(df: DataFrame, normalise: str = "string") -> DataFrame:
+    return duplicate_findings_of(duplicate_counts(df, normalise))
+
+
+def duplicate_findings_of(totals: DataFrame) -> DataFrame:
     return as_findings(
-        duplicate_records(df, normalise), stage=2, ordinal=F.lit(1),
+        duplicates_of(totals), stage=2, ordinal=F.lit(1),
         finding_type=F.lit("DUPLICATE_RECORDS"), column=F.lit(None), severity=F.col("severity"),
         message=F.format_string("Detected %d duplicate record(s).", "duplicate_count"),
         count=F.col("duplicate_count"), pct=F.col("duplicate_percentage"),

@@ -1035,6 +1035,22 @@ SELECT 6, ordinal + 1, 'NUMERICAL_OUTLIERS', "column", severity, message, iqr_co
     'skewness', round(skewness, 4), 'max_z_score', round(max_z, 2)) AS VARCHAR), 0
 FROM o_f UNION ALL
 SELECT 8, ordinal + 1, 'DISTRIBUTION_DRIFT', "column", severity, message, NULL, NULL, NULL, NULL, NULL, 0 FROM k_d WHERE is_drift"""
+_ARRIVED = """WITH fe AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id) FROM events),
+fv AS (SELECT * FROM fe UNION ALL SELECT * FROM fe WHERE event_id % 8 = 0)"""
+SQL["stream_memory_findings"] = f"""{_ARRIVED}
+SELECT 1 AS stage, position AS ordinal, 'MISSING_VALUES' AS finding_type, "column" AS column_name, severity,
+  'Column ''' || "column" || ''' contains ' || missing_count || ' missing value(s).' AS message, missing_count AS affected_count,
+  missing_percentage AS affected_pct, CAST(NULL AS VARCHAR) AS expected_type, CAST(NULL AS VARCHAR) AS actual_type,
+  CAST(json_object('column', "column", 'missing_count', missing_count, 'missing_percentage', missing_percentage,
+    'total_rows', total_rows) AS VARCHAR) AS evidence
+FROM ({missing_values('fv', EVENT_COLUMNS, 'event_id')}) UNION ALL
+SELECT 2, 1, 'DUPLICATE_RECORDS', NULL, severity, 'Detected ' || duplicate_count || ' duplicate record(s).', duplicate_count,
+  duplicate_percentage, NULL, NULL, CAST(json_object('duplicate_count', duplicate_count, 'duplicate_percentage',
+    duplicate_percentage, 'total_rows', total_rows) AS VARCHAR)
+FROM ({duplicates('fv', ', '.join(EVENT_COLUMNS))})"""
+SQL["stream_memory_profile"] = f"""{_ARRIVED}
+SELECT 'value' AS "column", count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
+  round(min(value), 4) AS min, round(max(value), 4) AS max FROM fv"""
 SQL["stream_runs"] = """SELECT event_type AS pipeline_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS rows_input,
   count(*) FILTER (WHERE value < 100) AS rows_output,
   round(date_diff('microsecond', min(ts), max(ts)) / 1000.0, 3) AS duration_ms

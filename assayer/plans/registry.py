@@ -18,7 +18,7 @@ from assayer.plans.cases import (LINE_KEYS, etl_runs, faulted_customer, faulted_
                                  faulted_orders, fixed_forest, line_findings, scaled_events, table)
 from assayer.session import shared_dir, written
 from assayer.sources import readers, stores
-from assayer.streaming import streams
+from assayer.streaming import memory, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -997,6 +997,28 @@ def stream_audit(spark, sf):
     return streams.audited_stream(faulted, check)
 
 
+def _remembered(spark, sf):
+    """Events that arrive in several batches, their copies in later ones than the rows themselves."""
+    folder = _scratch(spark, "arrivals")
+    rows = faults.inject_missing(table(spark, sf, "events"), "user_id", "event_id", 5)
+    rows.repartition(6).write.parquet(folder)
+    rows.where("event_id % 8 = 0").repartition(4).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return memory.remembered(arriving, "event_id")
+
+
+@query
+def stream_memory_findings(spark, sf):
+    found, batches = _remembered(spark, sf)
+    return found.findings(batches)
+
+
+@query
+def stream_memory_profile(spark, sf):
+    found, batches = _remembered(spark, sf)
+    return found.profile(batches)
+
+
 # --- faults ---------------------------------------------------------------------------------
 
 @query
