@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ METHODS = ("asymptotic", "exact")
 
 #: Ranges into which a part is cut, and the distinct values that one task may put in order.
 SPLIT, PART_VALUES = 4096, 100_000
+#: Largest product of the two sample sizes for which an exact p-value is counted: some seconds in one task.
+EXACT_CELLS = 1_000_000_000
 
 
 def paired_counts(current: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None,
@@ -125,25 +128,39 @@ def asymptotic_p(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
+def path_share(d: float, n: int, m: int) -> float:
+    """Share of the lattice paths from (0, 0) to (n, m) that reach the distance ``d`` somewhere.
+
+    Paths that stay inside are carried along anti-diagonals i + j = t, all cells of one at once,
+    and of each only the band in which |i m - j n| stays below the distance.
+    """
+    limit, width = round(d * n * m), n + m
+    if limit <= 0:
+        return 1.0
+    inside = np.zeros(n + 2)  # inside[i + 1]: cell (i, t - i)
+    inside[1] = 1.0
+    low, high = 0, 0
+    for t in range(1, width + 1):
+        first = max(0, t - m, (t * n - limit) // width + 1)
+        last = min(n, t, -((-t * n - limit) // width) - 1)
+        if first > last:
+            return 1.0
+        i = np.arange(first, last + 1)
+        new = (inside[first:last + 1] * i + inside[first + 1:last + 2] * (t - i)) / t
+        inside[low + 1:high + 2] = 0.0
+        inside[first + 1:last + 2] = new
+        low, high = first, last
+    return float(min(1.0, max(0.0, 1.0 - inside[n + 1])))
+
+
 @F.pandas_udf(T.DoubleType())
 def exact_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Exact two-sided probability by counting lattice paths, on one row per column.  It takes
-    steps in proportion to n * m, so it is for small samples."""
-
-    def one(stat: float, a: int, b: int) -> float:
-        limit = round(stat * a * b)
-        # share of paths from (0,0) to (i,j) that stay below the observed distance
-        row = [1.0]
-        for j in range(1, b + 1):
-            row.append(row[-1] if j * a < limit else 0.0)
-        for i in range(1, a + 1):
-            row[0] = row[0] if i * b < limit else 0.0
-            for j in range(1, b + 1):
-                ok = abs(i * b - j * a) < limit
-                row[j] = (row[j] * i + row[j - 1] * j) / (i + j) if ok else 0.0
-        return min(1.0, max(0.0, 1.0 - row[b]))
-
-    return pd.Series([one(float(x), int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
+    """Exact two-sided probability, on one row per column.  Its work follows d * n * m, so it is for
+    small samples: an error where n * m is above ``EXACT_CELLS``; ask for the asymptotic form there."""
+    cells = max((int(a) * int(b) for a, b in zip(n, m)), default=0)
+    if cells > EXACT_CELLS:
+        raise ValueError(f"an exact p-value of {cells} cells; the bound is {EXACT_CELLS}, use method='asymptotic'")
+    return pd.Series([path_share(float(x), int(a), int(b)) for x, a, b in zip(d, n, m)], dtype="float64")
 
 
 def ks_test(pairs: DataFrame, method: str = "asymptotic") -> DataFrame:

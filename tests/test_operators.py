@@ -152,6 +152,28 @@ def test_ks_decision_and_exact_p(spark):
     assert one(drift.drift_status(none, None)).status == "NOT_EXECUTED"
 
 
+def test_path_share_equals_counting_cell_by_cell():
+    def plain(d, n, m):
+        limit, share = round(d * n * m), {(0, 0): 1.0}
+        for i in range(n + 1):
+            for j in range(m + 1):
+                if i + j:
+                    ok = abs(i * m - j * n) < limit
+                    share[i, j] = (share.get((i - 1, j), 0) * i + share.get((i, j - 1), 0) * j) / (i + j) if ok else 0.0
+        return 1.0 - share[n, m] if limit else 1.0
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        n, m = (int(x) for x in rng.integers(1, 25, 2))
+        d = round(rng.uniform(0, 1) * n * m) / (n * m)
+        assert drift.path_share(d, n, m) == pytest.approx(plain(d, n, m), abs=1e-12)
+    assert drift.path_share(0.02, 20_000, 20_000) == pytest.approx(2 * sum(
+        (-1) ** (k - 1) * np.exp(-2 * k * k * 4) for k in range(1, 9)), rel=0.02)
+    import pandas as pd
+    with pytest.raises(ValueError):
+        drift.exact_p.func(pd.Series([0.5]), pd.Series([100_000]), pd.Series([100_000]))
+
+
 @pytest.fixture(scope="module")
 def forest_table(spark):
     rng = np.random.default_rng(42)
