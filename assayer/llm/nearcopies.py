@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles, exactly.
+"""Near copies by SimHash and, exactly, by the Jaccard similarity of word shingles.
+
+Texts are first grouped as ``simhash`` groups them, by fingerprints of their ``SHINGLE``-word
+shingles that differ in three bits at most, and each text of a component is held against its
+first one.  Fingerprints miss similar texts and chain others, so shared shingles complete this:
 
 Texts are sets of 64-bit hashes of ``SHINGLE`` words.  Sets of n and m >= n shingles whose
 similarity is s or more have at least 2 s n / (1 + s) and at least s m in common, so the
@@ -13,7 +17,7 @@ of a few bits a shingle (the parity of the shingles of each place): places that
 a lower bound of the shingles that do.  Texts of the pairs that are left are compared on whole sets.
 
 A key of two sets is a candidate without any join.  Of a key of more, each set
-is first held against one of them; only sets that are then in different
+is first held against one of them, together with the candidates by fingerprint; only sets that are then in different
 components are held against each other, so that many near copies of one text
 don't meet in pairs.  The components are those of all pairs of similarity s.
 
@@ -30,17 +34,16 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import LOWER, fresh, small_batches
+from assayer.llm import simhash
+from assayer.llm.common import fresh, small_batches
 from assayer.llm.components import components
 from assayer.session import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SEED = 42
 #: One text in so many counts for the order of shingles; those in ``OFTEN`` of them or more
 #: are frequent, at most ``LISTED``.  Results do not depend on them.
 SAMPLED, OFTEN, LISTED = 16, 8, 100_000
@@ -50,17 +53,7 @@ SKETCH = 1 << 20
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of the shingles, ascending."""
-    words = (text or "").encode().translate(LOWER).split()
-    if not words:
-        return np.zeros(0, dtype="<i8")
-    line = b" ".join(words)
-    if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        behind = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], behind[:-1]])[:len(words) - shingle + 1].tolist()
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (behind[shingle - 1:] - 1).tolist())]
-    return np.unique(np.array(hashes, dtype="<u8").view("<i8"))
+    return np.unique(simhash.hashes(text, shingle).view("<i8"))
 
 
 def prefix(own: np.ndarray, often: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
@@ -136,6 +129,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: fl
         alike("one", "two")).select("a", "b"), "similar")
 
 
+def by_fingerprint(sets: DataFrame, bits: int = simhash.BITS) -> DataFrame:
+    """(a, b) with a < b: each set (sid, fp) beside the first of its SimHash component, so
+    no more pairs than sets."""
+    first = written(sets.groupBy("fp").agg(F.min("sid").alias("first")), "first")
+    roots = components(written(simhash.links(first.select("fp"), bits), "links"), "a", "b")
+    linked = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
+    of = linked.join(heads, "root").select("fp", "head")
+    return sets.select("sid", "fp").join(of, "fp").where("head < sid").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+
+
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """See ``_representatives``; texts reach the Python workers in small batches."""
     with small_batches(docs.sparkSession):
@@ -151,12 +155,17 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
     rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))
 
-    @F.pandas_udf("digest binary, n int, k int, first array<long>, sketch binary")
+    @F.pandas_udf("digest binary, fp long, n int, k int, first array<long>, sketch binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, shingle) for t in batch]
+            prints, sets = [], []
+            for text in batch:
+                codes = simhash.hashes(text, shingle)
+                prints.append(simhash.majority(codes))
+                sets.append(np.unique(codes.view("<i8")))
             firsts = [prefix(s, often.value, similarity) for s in sets]
             yield pd.DataFrame({"digest": [hashlib.sha256(s.tobytes()).digest() for s in sets],
+                                "fp": np.array(prints, dtype="int64"),
                                 "n": np.array([len(s) for s in sets], dtype="int32"),
                                 "k": np.array([k for _, k in firsts], dtype="int32"),
                                 "first": [f.tolist() for f, _ in firsts], "sketch": [sketch(s) for s in sets]})
@@ -164,8 +173,10 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.col(rid).alias("sid"))
     each = rows.select(order.alias("best"), signed("text").alias("x")).select("best", "x.*")
-    sets = each.groupBy("digest").agg(F.min("best").alias("best"), *[F.first(c).alias(c) for c in ("n", "k", "first", "sketch")])
-    sets = written(sets.select("best.sid", "best", "n", "k", "first", "sketch"), "distinct")
+    # equal sets may repeat their shingles differently
+    sets = each.groupBy("digest").agg(F.min("best").alias("best"), F.min("fp").alias("fp"),
+                                      *[F.first(c).alias(c) for c in ("n", "k", "first", "sketch")])
+    sets = written(sets.select("best.sid", "best", "fp", "n", "k", "first", "sketch"), "distinct")
     texts = rows.select(F.col(rid).alias("sid"), "text")
 
     keyed = sets.select("sid", "n", "k", F.posexplode("first").alias("i", "s")).select(
@@ -179,7 +190,7 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
     centre = member.where("sid = centre").select("s", F.col("n").alias("m"))
     star = sums.where("c = 2").select("a", "b", "m", "n").union(member.join(centre, "s").select(
         F.least("centre", "sid").alias("a"), F.greatest("centre", "sid").alias("b"), "m", "n").where("a < b")).where(near)
-    tried = written(star.select("a", "b").distinct(), "star")
+    tried = written(by_fingerprint(sets).union(star.select("a", "b")).distinct(), "tried")
     links = _similar(tried, sets, texts, similarity, shingle)
     roots = components(links, "a", "b")
     # what is still apart under one key

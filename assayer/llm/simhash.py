@@ -38,26 +38,34 @@ BUCKET = 1024
 HOT = 1000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash, as a signed integer."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Unsigned hashes of the shingles in their order, repeats included."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        behind = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], behind[:-1]])[:len(words) - shingle + 1].tolist()
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (behind[shingle - 1:] - 1).tolist())]
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype="<u8")
+    behind = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], behind[:-1]])[:len(words) - shingle + 1].tolist()
+    return np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (behind[shingle - 1:] - 1).tolist())],
+                    dtype="<u8")
+
+
+def majority(codes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed integer."""
     counts = np.zeros(64, dtype=np.int64)
-    codes = np.array(hashes, dtype="<u8")
     for i in range(0, len(codes), 65_536):
         part = np.unpackbits(codes[i:i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(part, axis=0, dtype=np.uint32)
     return int(np.packbits(2 * counts > len(codes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash, as a signed integer."""
+    return majority(hashes(text, shingle))
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

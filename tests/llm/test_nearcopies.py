@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_simhash import classes
 
 import corpus_pipeline
-from assayer.llm import nearcopies
+from assayer.llm import nearcopies, simhash
 from assayer.llm.common import BATCH_BYTES, small_batches
 
 
@@ -104,3 +104,19 @@ def test_small_batches_bound_what_a_task_holds(spark):
         rows = df.select(held("text").alias("n")).collect()
     assert len(rows) == 400 and max(r.n for r in rows) <= 20
     assert spark.conf.get(BATCH_BYTES) == before
+
+
+def test_texts_meet_their_simhash_component(spark, data, monkeypatch):
+    """The stage holds every text against the first of its component by SimHash of five words."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(300)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    prints = {i: simhash.fingerprint(t, nearcopies.SHINGLE) for i, t in texts.items()}
+    want = classes(sorted(prints), lambda x, y: ((prints[x] ^ prints[y]) & (2 ** 64 - 1)).bit_count() <= 3)
+    sets = spark.createDataFrame(sorted(prints.items()), "sid long, fp long")
+    got = {tuple(r) for r in nearcopies.by_fingerprint(sets).collect()}
+    assert len(got) == sum(i != r for i, r in want.items()) > 0
+    assert all(want[a] == a and want[b] == a for a, b in got)
+    met, real = [], nearcopies.by_fingerprint
+    monkeypatch.setattr(nearcopies, "by_fingerprint", lambda sets: (met.append(sets.count()), real(sets))[1])
+    nearcopies.representatives(docs)
+    assert len(met) == 1 and met[0] > 0
