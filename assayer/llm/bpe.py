@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import kept, settle, slices
+
 ROOT = 0
 #: Bytes after which what is certain leaves, at the latest.
 LOOKAHEAD = 1024
@@ -36,6 +38,8 @@ FEW = 8
 MEMO_STATES = 100_000
 MEMO_PAIRS = 500_000
 MEMO_WORDS = 120_000
+#: Characters of the texts whose ids and decoded texts a task holds at once.
+SLICE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -314,17 +318,14 @@ class Decoder:
         return "".join(self.stream(ids[i:i + chunk] for i in range(0, len(ids), chunk)))
 
 
-_compiled: dict[str, object] = {}
-
-
 def _once(kind, broadcast):
     """One compiled machine a worker process, for the vocabulary used last."""
     key = f"{kind.__name__}-{broadcast.value[0]}"
-    if key not in _compiled:
-        for old in [k for k in _compiled if k.startswith(kind.__name__)]:
-            del _compiled[old]
-        _compiled[key] = kind(broadcast.value[1])
-    return _compiled[key]
+    if key not in kept:
+        for old in [k for k in kept if k.startswith(kind.__name__)]:
+            del kept[old]
+        kept[key] = kind(broadcast.value[1])
+    return kept[key]
 
 
 def vocabulary(spark, path: str):
@@ -356,8 +357,11 @@ def round_trip(docs: DataFrame, vocab, pattern: str, text: str = "text", into: s
         words, machine = Words(_once(Transducer, vocab)), _once(Decoder, vocab)
         find = regex.compile(pattern).findall
         for batch in batches:
-            ids = [b"".join([words[w] for w in find(t)]) if t else b"" for t in batch]
-            yield pd.DataFrame({"ids": ids, "decoded": [machine.decode(i) for i in ids]}, dtype=object)
+            for a, b in slices(batch.tolist(), SLICE):
+                ids = [b"".join([words[w] for w in find(t)]) if t else b"" for t in batch.iloc[a:b]]
+                yield pd.DataFrame({"ids": ids, "decoded": [machine.decode(i) for i in ids]}, dtype=object)
+        batch = ids = None
+        settle(forget=False)
 
     return docs.withColumn(into, code(F.col(text)))
 

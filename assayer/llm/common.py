@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,25 @@ def small_batches(spark: SparkSession, size: str = "4m"):
         spark.conf.set(BATCH_BYTES, before)
 
 
+#: What a Python worker keeps from task to task, such as a compiled vocabulary.
+kept: dict[str, object] = {}
+
+
+def settle(forget: bool = True) -> None:
+    """Give memory that is free back to the system, in a Python worker; with ``forget`` also
+    what other operators keep there.
+
+    Spark hands a worker on from stage to stage.  What it has freed stays with Arrow and the
+    C library, and so counts beside the next stage until it is given back.
+    """
+    if forget:
+        kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def remainder5(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import simhash
-from assayer.llm.common import fresh, small_batches
+from assayer.llm.common import fresh, settle, small_batches
 from assayer.llm.components import components
 from assayer.session import written
 
@@ -87,6 +87,7 @@ def differing(one: bytes, two: bytes) -> int:
 def frequent(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """Shingles frequent in a sample of the texts, at most ``LISTED``, ascending."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settle()
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch["text"]]
             kinds, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, "<i8"), return_counts=True)
@@ -157,6 +158,7 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
 
     @F.pandas_udf("digest binary, fp long, n int, k int, first array<long>, sketch binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        settle()
         for batch in batches:
             prints, sets = [], []
             for text in batch:
@@ -169,6 +171,8 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
                                 "n": np.array([len(s) for s in sets], dtype="int32"),
                                 "k": np.array([k for _, k in firsts], dtype="int32"),
                                 "first": [f.tolist() for f, _ in firsts], "sketch": [sketch(s) for s in sets]})
+            del batch, sets, firsts
+        settle()
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.col(rid).alias("sid"))
@@ -181,16 +185,18 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
 
     keyed = sets.select("sid", "n", "k", F.posexplode("first").alias("i", "s")).select(
         "sid", "n", "s", (F.col("i") < F.col("k")).alias("short"))
-    # plain numbers, so that the largest exchange is a hash aggregate of narrow rows
-    sums = written(keyed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("short"), F.col("sid"))).alias("centre"),
-                                          F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("n").alias("m"),
-                                          F.max("n").alias("n")).where("c > 1 AND centre IS NOT NULL"), "keys")
-    member = written(keyed.join(sums.where("c > 2").select("s", "centre"), "s"), "members")
+    # one exchange of narrow rows serves the counts and the members of the keys
+    dealt = keyed.repartition("s")
+    sums = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("short"), F.col("sid"))).alias("centre"),
+                                  F.min("n").alias("m"), F.max("n").alias("most"))
     near = f"least(m, n) >= {float(similarity)} * greatest(m, n) - 1e-6"
+    kept = sums.where(f"c > 2 AND centre IS NOT NULL OR c = 2 AND centre IS NOT NULL AND m >= {float(similarity)} * most - 1e-6")
+    member = written(dealt.join(kept.select("s", "c", "centre"), "s"), "members")
     centre = member.where("sid = centre").select("s", F.col("n").alias("m"))
-    star = sums.where("c = 2").select("a", "b", "m", "n").union(member.join(centre, "s").select(
-        F.least("centre", "sid").alias("a"), F.greatest("centre", "sid").alias("b"), "m", "n").where("a < b")).where(near)
-    tried = written(by_fingerprint(sets).union(star.select("a", "b")).distinct(), "tried")
+    star = member.join(centre, "s").where("sid <> centre").where(near).select(
+        F.least("centre", "sid").alias("a"), F.greatest("centre", "sid").alias("b"))
+    member = member.where("c > 2").drop("c", "centre")
+    tried = written(by_fingerprint(sets).union(star).distinct(), "tried")
     links = _similar(tried, sets, texts, similarity, shingle)
     roots = components(links, "a", "b")
     # what is still apart under one key

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import fresh, remainder5
+from assayer.llm.common import fresh, remainder5, settle
 
 #: Bound of the labelled documents that a fit uses.
 MAX_ROWS = 40_000
@@ -149,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", target: str
 
     @F.pandas_udf("array<double>")
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        settle()
         for batch in batches:
             yield pd.Series([statistics(t) for t in batch], dtype=object)
 
@@ -166,9 +167,12 @@ def with_score(docs: DataFrame, trees: Trees, text: str = "text", into: str = "s
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        settle()
         for batch in batches:
             x = np.array([statistics(t) for t in batch]).reshape(-1, len(NAMES))
             yield pd.Series(shared.value.score(x))
+            del batch, x
+            settle()
 
     return docs.withColumn(into, score(F.col(text)))
 

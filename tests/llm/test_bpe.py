@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import __spark_entry__ as entry
-from assayer.llm import bpe
+from assayer.llm import bpe, common
 from assayer.llm.queries import MULTI_RANKS
 
 PATH = public_tokenizers.path(MULTI_RANKS)
@@ -87,3 +87,11 @@ def test_query(spark, data, library):
         ids = library.encode_ordinary(d.text or "")
         want.add((d.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode_bytes(ids))))
     assert {tuple(r) for r in entry.queries()["op10_bpe_transducer"](spark, data).collect()} == want
+
+
+def test_settle_forgets_what_a_worker_keeps():
+    common.kept["Transducer-x"] = object()
+    common.settle(forget=False)
+    assert "Transducer-x" in common.kept
+    common.settle()
+    assert not common.kept
