@@ -130,24 +130,30 @@ class Network:
             grads["members"], grads["member_bias"] = np.zeros((CLASSES, HIDDEN, MEMBERS), np.float32), np.zeros(
                 (CLASSES, MEMBERS), np.float32)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # short numbers are sorted by radix
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
-        for c in range(CLASSES):
-            own = order[cuts[c]:cuts[c + 1]]
-            if not len(own):
-                continue
-            h, m, k = flat[own], member[own], np.arange(len(own))
-            e = h @ self.p["members"][c] + self.p["member_bias"][c]
-            np.minimum(e, 60, out=e)
-            picked = e[k, m]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            out[own] += picked - np.log(total)
-            if grads is not None:
-                e /= total[:, None]
-                e[k, m] -= 1
-                grads["members"][c] = h.T @ e
-                grads["member_bias"][c] = e.sum(axis=0)
-                back[own] += e @ self.p["members"][c].T
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))]).tolist()
+        own = [c for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        # sorted by class once, so that only the products go class by class
+        h, m = flat[order], member[order]
+        e = np.empty((len(order), MEMBERS), dtype=h.dtype)
+        for c in own:
+            part = e[cuts[c]:cuts[c + 1]]
+            np.matmul(h[cuts[c]:cuts[c + 1]], self.p["members"][c], out=part)
+            part += self.p["member_bias"][c]
+        np.minimum(e, 60, out=e)
+        picked = e[rows, m]
+        np.exp(e, out=e)
+        total = e.sum(axis=1)
+        out[order] += picked - np.log(total)
+        if grads is not None:
+            e /= total[:, None]
+            e[rows, m] -= 1
+            behind = np.empty_like(h)
+            for c in own:
+                at = slice(cuts[c], cuts[c + 1])
+                grads["members"][c] = h[at].T @ e[at]
+                grads["member_bias"][c] = e[at].sum(axis=0)
+                np.matmul(e[at], self.p["members"][c].T, out=behind[at])
+            back[order] += behind
         return out.reshape(x.shape), None if back is None else back.reshape(before.shape)
 
     def learn(self, x: np.ndarray, h: np.ndarray, rate: float = RATE) -> np.ndarray:

@@ -145,3 +145,16 @@ def test_large_ids_beside_null(spark):
     docs = [((1 << 60) + 1, "a"), ((1 << 60) + 3, "b c"), (None, "d")]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     same(gru.report(df).collect(), docs)
+
+
+def test_softmax_within_classes_goes_over_all_tokens_at_once(net, monkeypatch):
+    """Only the products go class by class; probabilities are those of each class by itself."""
+    rng, calls, exp = np.random.default_rng(5), [], np.exp
+    before, x = rng.normal(0, 1, (7, 40, gru.HIDDEN)), rng.integers(0, gru.SYMBOLS, (7, 40)).astype(np.int32)
+    monkeypatch.setattr(gru.np, "exp", lambda *a, **k: (calls.append(1), exp(*a, **k))[1])
+    got = net.log_probability(before, x)[0]
+    assert len(calls) == 2
+    for h, s, p in zip(before.reshape(-1, gru.HIDDEN)[:50], x.ravel(), got.ravel()):
+        c, m = divmod(int(s), gru.MEMBERS)
+        one, two = h @ net.p["classes"] + net.p["class_bias"], h @ net.p["members"][c] + net.p["member_bias"][c]
+        assert abs(one[c] - np.log(exp(one).sum()) + two[m] - np.log(exp(two).sum()) - p) < 1e-9
