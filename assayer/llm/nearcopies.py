@@ -19,7 +19,9 @@ a lower bound of the shingles that do.  Texts of the pairs that are left are com
 A key of two sets is a candidate without any join.  Of a key of more, each set
 is first held against one of them, together with the candidates by fingerprint; only sets that are then in different
 components are held against each other, so that many near copies of one text
-don't meet in pairs.  The components are those of all pairs of similarity s.
+don't meet in pairs.  Under a key of many, those still apart meet by what they differ in from
+the one that all were held against (``by_difference``), not by the key: copies with a few changes
+too many have most shingles in common.  The components are those of all pairs of similarity s.
 
 Rows: texts of fewer words than a shingle are one shingle.  Null and empty texts
 are the empty set, one component.  Repeated rows are one set.
@@ -34,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm import simhash
@@ -47,6 +49,8 @@ SIMILARITY = 0.8
 #: One text in so many counts for the order of shingles; those in ``OFTEN`` of them or more
 #: are frequent, at most ``LISTED``.  Results do not depend on them.
 SAMPLED, OFTEN, LISTED = 16, 8, 100_000
+#: Sets under one key beyond which those apart meet by their differences.  Results do not depend on it.
+LARGE = 128
 #: Bits of a sketch at most; longer texts share places, which only weakens the bound.
 SKETCH = 1 << 20
 
@@ -141,6 +145,48 @@ def by_fingerprint(sets: DataFrame, bits: int = simhash.BITS) -> DataFrame:
     return sets.select("sid", "fp").join(of, "fp").where("head < sid").select(F.col("head").alias("a"), F.col("sid").alias("b"))
 
 
+def by_difference(groups: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b) with a < b: candidates among the sets of each group (base, sid, n, root) that have
+    different roots, at least all similar ones.  The base is a set of its group, and the sets
+    similar to it have its root.
+
+    w, the difference of a set of n shingles, are those in it or in the base only, d are those in
+    one of two sets only: d = w + w' - 2 (shared), and similar sets have d <= r (n + n') with
+    r = (1 - s) / (1 + s).  So their differences share some, the first of them, in any fixed order, at
+    the place (w - w' + d) / 2 + 1 of w or before.  One of the two is not similar to the base, w' > r (n' + base):
+    of the other about the first half of the difference counts.  The order has those last that are in many
+    differences of the group, so that copies with changes of their own share none where it counts.
+    """
+    @F.pandas_udf("array<long>")
+    def difference(base: pd.Series, text: pd.Series) -> pd.Series:
+        out, last, a = [], None, None
+        for x, y in zip(base, text):
+            if a is None or x != last:
+                last, a = x, shingles(x, shingle)
+            out.append(np.setxor1d(a, shingles(y, shingle), assume_unique=True).tolist())
+        return pd.Series(out, dtype=object)
+
+    s = float(similarity)
+    r = (1 - s) / (1 + s)
+    whole = written(texts.join(groups.select("sid").distinct(), "sid", "left_semi"), "texts")
+    homes = groups.where("sid = base").select("base", F.col("root").alias("home"), F.col("n").alias("m"))
+    pairs = groups.join(homes, "base").join(whole, "sid").join(whole.toDF("base", "one"), "base")
+    apart = written(pairs.select("base", "sid", "n", "m", "root", (F.col("root") != F.col("home")).alias("away"),
+                                 difference("one", "text").alias("d")), "differences")
+    each = apart.select("base", "sid", "n", "m", "root", "away", F.size("d").alias("w"), F.explode("d").alias("e"))
+    shared = each.groupBy("base", "e").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
+    order = Window.partitionBy("base", "sid").orderBy("c", "e")
+    placed = each.join(shared, ["base", "e"]).withColumn("i", F.row_number().over(order)).where(
+        f"x < y AND (i <= (w + {r} * (n - m)) / 2 + 1 + 1e-6 OR away AND i <= {r} * n * {1 + 1 / s} + 1 + 1e-6)")
+    placed = written(placed.select("base", "e", "sid", "n", "m", "root", "away", "w", "i"), "places")
+    one = placed.where("away").select("base", "e", *[F.col(c).alias(f"{c}_") for c in ("sid", "n", "w", "i", "root")])
+    two = placed.where(f"i <= (w + {r} * (n - m)) / 2 + 1 + 1e-6")
+    return one.join(two, ["base", "e"]).where(
+        f"root_ <> root AND least(n_, n) >= {s} * greatest(n_, n) - 1e-6 AND i_ <= (w_ - w + {r} * (n_ + n)) / 2 + 1 + 1e-6 "
+        f"AND i <= (w - w_ + {r} * (n_ + n)) / 2 + 1 + 1e-6").select(
+        F.least("sid_", "sid").alias("a"), F.greatest("sid_", "sid").alias("b")).distinct()
+
+
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """See ``_representatives``; texts reach the Python workers in small batches."""
     with small_batches(docs.sparkSession):
@@ -195,19 +241,25 @@ def _representatives(docs: DataFrame, similarity: float, shingle: int) -> DataFr
     centre = member.where("sid = centre").select("s", F.col("n").alias("m"))
     star = member.join(centre, "s").where("sid <> centre").where(near).select(
         F.least("centre", "sid").alias("a"), F.greatest("centre", "sid").alias("b"))
-    member = member.where("c > 2").drop("c", "centre")
+    member = member.where("c > 2").drop("c")
     tried = written(by_fingerprint(sets).union(star).distinct(), "tried")
     links = _similar(tried, sets, texts, similarity, shingle)
     roots = components(links, "a", "b")
     # what is still apart under one key
-    placed = member.select("s", "sid", "n", "short").join(roots, member.sid == roots.node, "left").select(
-        "s", "sid", "n", "short", F.coalesce("root", "sid").alias("root"))
-    apart = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("s")
+    placed = member.join(roots, member.sid == roots.node, "left").select(
+        "s", "sid", "n", "short", "centre", F.coalesce("root", "sid").alias("root"))
+    apart = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where(
+        "x < y").select("s", "c")
     open_ = written(placed.join(apart, "s"), "apart")
-    one = open_.where("short").select("s", F.col("sid").alias("p"), F.col("n").alias("m"), F.col("root").alias("x"))
-    two = open_.select("s", F.col("sid").alias("q"), "n", F.col("root").alias("y"))
+    few = open_.where(F.col("c") <= LARGE)
+    one = few.where("short").select("s", F.col("sid").alias("p"), F.col("n").alias("m"), F.col("root").alias("x"))
+    two = few.select("s", F.col("sid").alias("q"), "n", F.col("root").alias("y"))
     rest = one.join(two, "s").where(f"x <> y AND m <= n AND {near}").select(
-        F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    groups = written(open_.where(F.col("c") > LARGE).select(F.col("centre").alias("base"), "sid", "n", "root").distinct(), "groups")
+    if not groups.isEmpty():
+        rest = rest.union(by_difference(groups, texts, similarity, shingle))
+    rest = rest.distinct()
     more = _similar(written(rest.join(tried, ["a", "b"], "left_anti"), "rest"), sets, texts, similarity, shingle)
     roots = components(links.union(more), "a", "b")
     linked = sets.select("sid", "best").join(roots, sets.sid == roots.node, "left").select(

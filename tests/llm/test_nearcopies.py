@@ -120,3 +120,32 @@ def test_texts_meet_their_simhash_component(spark, data, monkeypatch):
     monkeypatch.setattr(nearcopies, "by_fingerprint", lambda sets: (met.append(sets.count()), real(sets))[1])
     nearcopies.representatives(docs)
     assert len(met) == 1 and met[0] > 0
+
+
+def test_copies_with_too_many_changes(spark, monkeypatch):
+    """Copies of one text that are not similar to each other don't meet in pairs; similar ones are found."""
+    rnd = random.Random(7)
+    template, docs = [f"t{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(template)
+        for at in rnd.sample(range(150), rnd.randint(2, 4)):
+            words[at] = f"u{rnd.randrange(10 ** 9)}"
+        docs.append(words)
+        if i % 10 == 0:
+            docs.append(words[:75] + ["more"] + words[75:])
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    tried, real = [], nearcopies._similar
+    monkeypatch.setattr(nearcopies, "SAMPLED", 1)
+    monkeypatch.setattr(nearcopies, "_similar", lambda pairs, *rest: (tried.append(pairs.count()), real(pairs, *rest))[1])
+    got = nearcopies.representatives(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept(docs)
+    assert sum(tried) <= 12 * len(docs)
+
+
+@pytest.mark.parametrize("often", [1, 10**9])
+def test_planted_by_differences(spark, monkeypatch, often):
+    monkeypatch.setattr(nearcopies, "LARGE", 0)
+    met, real = [], nearcopies.by_difference
+    monkeypatch.setattr(nearcopies, "by_difference", lambda groups, *rest: (met.append(groups.count()), real(groups, *rest))[1])
+    test_planted(spark, monkeypatch, often)
+    assert met and met[0] > 0
