@@ -27,11 +27,12 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ END = BUCKETS
 END_WORD = "\n"
 LISTED = 200_000
 LANES, STEPS = 256, 16
+#: Scoring has no order to keep: more lanes, as many tokens at a time.
+SCORE_LANES, SCORE_STEPS = 1024, 16
 RATE = 0.08
 #: Shares of the training documents by round; together all of them.
 ROUNDS = (0.125, 0.375, 0.5)
@@ -59,6 +62,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
+def words_of_all(texts: Sequence[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after the other, and how many each text has; as ``words_of``
+    splits them, without an object for every word."""
+    lines = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(lines)
+    sizes = np.where(pc.equal(lines, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy())
+    words = lists.flatten()
+    return words.filter(pc.not_equal(words, "")), sizes
+
+
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
@@ -92,21 +105,35 @@ class Network:
     def states(self, x: np.ndarray, h: np.ndarray, keep_all: bool = False):
         """States before each token, the state behind, and what the backward pass needs."""
         steps, lanes = x.shape
-        before = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
-        a = self.p["inputs"][x]
-        kept = []
-        u_all, k = self.p["state"], HIDDEN
-        live = (x != END).astype(np.float32)[:, :, None]
+        k = HIDDEN
+        # a sigmoid is half of the tanh of a half, and a half: the weights are halved once
+        half = np.repeat(np.array([0.5, 0.5, 1], dtype=np.float32), k)
+        a, u_all = (self.p["inputs"] * half)[x], self.p["state"] * half
+        ended = x == END
+        ends = ended.any(axis=1).tolist()
+        before = np.empty((steps, lanes, k), dtype=np.float32)
+        # what a step leaves, of all steps or of one
+        rows = steps if keep_all else 1
+        gates, new, old = (np.empty((rows, lanes, w), dtype=np.float32) for w in (2 * k, k, k))
         for t in range(steps):
             before[t] = h
             u = h @ u_all
-            gates = np.tanh((a[t, :, :2 * k] + u[:, :2 * k]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-            z, r = gates[:, :k], gates[:, k:]
-            n = np.tanh(a[t, :, 2 * k:] + r * u[:, 2 * k:])
+            g, n = gates[t % rows], new[t % rows]
+            np.add(a[t, :, :2 * k], u[:, :2 * k], out=g)
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
             if keep_all:
-                kept.append((z, r, n, u[:, 2 * k:]))
-            h = (n + z * (h - n)) * live[t]
-        return before, h, kept, live
+                old[t] = u[:, 2 * k:]
+            np.multiply(g[:, k:], u[:, 2 * k:], out=n)
+            n += a[t, :, 2 * k:]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= g[:, :k]
+            h += n
+            if ends[t]:
+                h[ended[t]] = 0
+        return before, h, (gates[:, :, :k], gates[:, :, k:], new, old), (ended, ends)
 
     def log_probability(self, before: np.ndarray, x: np.ndarray, grads: dict | None = None):
         """log P of each token given the state before it.  With ``grads`` it also adds the
@@ -118,7 +145,7 @@ class Network:
         np.minimum(e, 60, out=e)
         out = e[rows, cls]
         np.exp(e, out=e)
-        total = e.sum(axis=1)
+        total = e @ np.ones(CLASSES, dtype=e.dtype)  # short rows are added up faster as a product
         out = out - np.log(total)
         back = None
         if grads is not None:
@@ -142,16 +169,16 @@ class Network:
         np.minimum(e, 60, out=e)
         picked = e[rows, m]
         np.exp(e, out=e)
-        total = e.sum(axis=1)
+        total = e @ np.ones(MEMBERS, dtype=e.dtype)
         out[order] += picked - np.log(total)
         if grads is not None:
             e /= total[:, None]
             e[rows, m] -= 1
             behind = np.empty_like(h)
+            grads["member_bias"][own] = np.add.reduceat(e, [cuts[c] for c in own], axis=0)
             for c in own:
                 at = slice(cuts[c], cuts[c + 1])
                 grads["members"][c] = h[at].T @ e[at]
-                grads["member_bias"][c] = e[at].sum(axis=0)
                 np.matmul(e[at], self.p["members"][c].T, out=behind[at])
             back[order] += behind
         return out.reshape(x.shape), None if back is None else back.reshape(before.shape)
@@ -159,23 +186,29 @@ class Network:
     def learn(self, x: np.ndarray, h: np.ndarray, rate: float = RATE) -> np.ndarray:
         """One step of truncated backpropagation; the state behind the window."""
         steps, lanes = x.shape
-        before, last, kept, live = self.states(x, h, True)
+        before, last, (z, r, n, old), (ended, ends) = self.states(x, h, True)
         grads: dict[str, np.ndarray] = {}
         _, out = self.log_probability(before, x, grads)
         k, state = HIDDEN, self.p["state"]
         da = np.empty((steps, lanes, 3 * k), dtype=np.float32)
         du = np.empty((steps, lanes, 3 * k), dtype=np.float32)
         dh = np.zeros((lanes, k), dtype=np.float32)
+        # factors of all steps at once; only what follows from step to step is in the loop
+        rest = 1 - z
+        by_z, by_n, by_r = (before - n) * z * rest, rest * (1 - n * n), old * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            z, r, n, un = kept[t]
-            dh = dh * live[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :k] = dh * (before[t] - n) * z * (1 - z)
-            da[t, :, k:2 * k] = dn * un * r * (1 - r)
-            da[t, :, 2 * k:] = dn
-            du[t, :, :2 * k] = da[t, :, :2 * k]
-            du[t, :, 2 * k:] = dn * r
-            dh = dh * z + du[t] @ state.T + out[t]
+            if ends[t]:
+                dh[ended[t]] = 0
+            now, to_state = da[t], du[t]
+            dn = dh * by_n[t]
+            np.multiply(dh, by_z[t], out=now[:, :k])
+            np.multiply(dn, by_r[t], out=now[:, k:2 * k])
+            now[:, 2 * k:] = dn
+            to_state[:, :2 * k] = now[:, :2 * k]
+            np.multiply(dn, r[t], out=to_state[:, 2 * k:])
+            dh *= z[t]
+            dh += to_state @ state.T
+            dh += out[t]
         grads["state"] = before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
         scale = np.float32(1 / x.size)
         for name, g in grads.items():
@@ -201,7 +234,7 @@ class Vocabulary:
                  ends: int):
         """listed: by falling count; sums: tokens and kinds of all words by bucket."""
         self.tokens, self.kinds = tokens, kinds
-        self.index = {w: i for i, (w, _) in enumerate(listed)}
+        self.words = pa.array([w.decode() for w, _ in listed], pa.large_string())
         self.count = np.array([*(c for _, c in listed), ends], dtype=np.int64)  # the last one is the end
         own = min(len(listed), SYMBOLS - BUCKETS - 1)
         self.symbol = np.array([*range(BUCKETS + 1, BUCKETS + 1 + own), *(bucket(w) for w, _ in listed[own:]), END],
@@ -219,14 +252,22 @@ class Vocabulary:
 
     def codes(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Number of each token (a rare word: minus one minus its bucket), end included; rare words."""
-        words = words_of(text)
-        codes = np.empty(len(words) + 1, dtype=np.int32)
-        codes[:-1] = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        codes[-1] = len(self.count) - 1
-        rare = np.flatnonzero(codes < 0).tolist()
-        if rare:
-            codes[rare] = [-1 - bucket(words[i]) for i in rare]
-        return codes, [words[i] for i in rare]
+        return self.codes_of_all([text])[0]
+
+    def codes_of_all(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, list[bytes]]]:
+        """``codes`` of each text; all words are looked up at once."""
+        words, sizes = words_of_all(texts)
+        found = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        missing = np.flatnonzero(found < 0)
+        rare = [w.encode() for w in words.take(pa.array(missing)).to_pylist()]
+        behind = np.cumsum(sizes)
+        codes = np.full(len(found) + len(sizes), len(self.count) - 1, dtype=np.int32)
+        place = np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)  # an end behind each text before
+        codes[place] = found
+        codes[place[missing]] = [-1 - bucket(w) for w in rare]
+        cuts = np.searchsorted(missing, behind).tolist()
+        return [(c, rare[a:b]) for c, a, b in zip(
+            np.split(codes, (behind + np.arange(1, len(sizes) + 1))[:-1]), [0, *cuts], cuts)] if len(sizes) else []
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < 0, -1 - codes, self.symbol[np.maximum(codes, 0)])
@@ -246,8 +287,8 @@ def train_copy(net: Network, vocabulary: Vocabulary, texts: Iterator[list[str |
         state = np.zeros_like(state)
 
     for batch in texts:
-        for text in batch:
-            held.append(vocabulary.symbols(vocabulary.codes(text)[0]))
+        for codes, _ in vocabulary.codes_of_all(batch):
+            held.append(vocabulary.symbols(codes))
             seen += len(held[-1])
             rest += len(held[-1])
             if rest >= size:
@@ -263,9 +304,9 @@ def train_copy(net: Network, vocabulary: Vocabulary, texts: Iterator[list[str |
     return seen
 
 
-def score_texts(net: Network, symbols: list[np.ndarray], window: int = 64) -> np.ndarray:
+def score_texts(net: Network, symbols: list[np.ndarray], window: int = SCORE_STEPS) -> np.ndarray:
     """log10 probability of each sequence of symbols that ends with the end."""
-    lanes = max(1, min(LANES, len(symbols)))
+    lanes = max(1, min(SCORE_LANES, len(symbols)))
     load, where = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for i in sorted(range(len(symbols)), key=lambda i: -len(symbols[i])):
         n, k = heapq.heappop(load)
@@ -300,16 +341,16 @@ def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> Dat
         seen: Counter = Counter()
 
         def flush():
-            return pd.DataFrame({"word": pd.Series([w.decode() for w in seen], dtype=object), "bucket": [bucket(w) for w in seen],
+            return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "bucket": [bucket(w.encode()) for w in seen],
                                  "c": list(seen.values())})
 
-        for batch in batches:
-            for t in batch["text"]:
-                seen.update(words_of(t))
-                if len(seen) > most:
-                    yield flush()
-                    seen.clear()
-            seen[END_WORD.encode()] += len(batch)
+        for batch in in_slices(batches, "text", lambda part: part):
+            kinds = pc.value_counts(words_of_all(batch["text"].tolist())[0])
+            seen.update(dict(zip(kinds.field(0).to_pylist(), kinds.field(1).to_pylist())))
+            seen[END_WORD] += len(batch)
+            if len(seen) > most:
+                yield flush()
+                seen.clear()
         yield flush()
 
     return docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, bucket int, c long").groupBy(
@@ -353,7 +394,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds=ROUNDS, text: str = "text")
 
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Network(words.value.mass).load(now.value)
-            n = train_copy(own, words.value, (b["text"].tolist() for b in batches))
+            n = train_copy(own, words.value, (b["text"].tolist() for b in in_slices(batches, "text", lambda part: part)))
             if n:
                 flat = own.vector()
                 yield pd.DataFrame({"chunk": range(0, len(flat), CHUNK), "n": n,
@@ -384,7 +425,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network, counts: DataFrame, t
         model = Network(own.mass).load(flat.value)
         logs = np.log10(own.count + 0.5)
         for batch in in_slices(batches, "text", lambda part: part, 24_000_000):
-            coded = [own.codes(t) for t in batch["text"]]
+            coded = own.codes_of_all(batch["text"].tolist())
             symbols = [own.symbols(c) for c, _ in coded]
             total = score_texts(model, symbols)
             base, known = np.zeros(len(coded)), np.zeros(len(coded), dtype=np.int64)

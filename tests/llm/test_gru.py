@@ -158,3 +158,29 @@ def test_softmax_within_classes_goes_over_all_tokens_at_once(net, monkeypatch):
         c, m = divmod(int(s), gru.MEMBERS)
         one, two = h @ net.p["classes"] + net.p["class_bias"], h @ net.p["members"][c] + net.p["member_bias"][c]
         assert abs(one[c] - np.log(exp(one).sum()) + two[m] - np.log(exp(two).sum()) - p) < 1e-9
+
+
+def test_words_of_all_texts_at_once():
+    rnd = np.random.default_rng(3)
+    texts = [None, "", " \t\n", "\x0b a\x0cB\x1c\x85É　x y \x1f", "\x00 \x00a", "Ä a A"]
+    texts += ["".join(rnd.choice(list("aB \t\n\x0b\x0c\r\x1c\x1f\x85\xa0Ä\x00"), 25)) for _ in range(300)]
+    words, sizes = gru.words_of_all(texts)
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in gru.words_of(t)]
+    assert sizes.tolist() == [len(gru.words_of(t)) for t in texts]
+    listed = [(b"a", 9), ("ä".encode(), 3), (b"\x00", 2)]
+    vocab = gru.Vocabulary(listed, {b: (20, 9) for b in range(gru.BUCKETS)}, 20, 9, 4)
+    numbers = {w: i for i, (w, _) in enumerate(listed)}
+    for text, (codes, rare) in zip(texts, vocab.codes_of_all(texts), strict=True):
+        own = gru.words_of(text)
+        assert codes.tolist() == [numbers.get(w, -1 - gru.bucket(w)) for w in own] + [len(listed)]
+        assert rare == [w for w in own if w not in numbers]
+    assert vocab.codes_of_all([]) == []
+
+
+def test_scores_do_not_depend_on_lanes(monkeypatch):
+    rnd = np.random.default_rng(5)
+    net = gru.Network(rnd.random(gru.SYMBOLS))
+    symbols = [np.append(rnd.integers(gru.END + 1, gru.SYMBOLS, n), gru.END).astype(np.int32) for n in rnd.integers(0, 90, 50)]
+    want = gru.score_texts(net, symbols)
+    monkeypatch.setattr(gru, "SCORE_LANES", 3)
+    assert np.allclose(gru.score_texts(net, symbols, 7), want, atol=1e-4)
